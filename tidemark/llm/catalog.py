@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, wavelet
+from . import decontamination, packing, token_counts, wavelet
 from .session import table
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(decontamination.benchmark_hits(docs, table(spark, sf_dir, "benchmark")))
+
+
 def op4_wavelet_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,5 +26,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op4_wavelet_token_ids, op7_cost_balanced_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_wavelet_token_ids, op7_cost_balanced_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
