@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, token_counts, wavelet
+from . import decontamination, jaccard_join, packing, token_counts, wavelet
 from .session import table
 
 
@@ -22,9 +22,13 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_wavelet_token_ids, op7_cost_balanced_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op4_wavelet_token_ids, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
