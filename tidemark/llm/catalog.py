@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, substring_dedup, token_counts, wavelet
+from . import decontamination, jaccard_join, language_id, packing, substring_dedup, token_counts, wavelet
 from .session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.cut(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -34,5 +38,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
