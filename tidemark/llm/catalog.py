@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontamination, jaccard_join, language_id, packing, substring_dedup, token_counts, wavelet
+from . import attention_lm, decontamination, jaccard_join, language_id, nn_descent, packing, substring_dedup, token_counts, wavelet
 from .session import table
 
 
@@ -30,6 +30,10 @@ def op5_attention_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,5 +46,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op5_attention_lm_scoring, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op5_attention_lm_scoring, op6_nn_descent, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
