@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontamination, jaccard_join, language_id, nn_descent, packing, substring_dedup, token_counts, wavelet
+from . import attention_lm, decontamination, jaccard_join, language_id, nn_descent, packing, quotation_links, substring_dedup, token_counts, wavelet
 from .session import table
 
 
@@ -39,12 +39,16 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_links.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op5_attention_lm_scoring, op6_nn_descent, op7_cost_balanced_packing, op8_ngram_jaccard_join, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op5_attention_lm_scoring, op6_nn_descent, op7_cost_balanced_packing, op8_ngram_jaccard_join, op9_quotation_links, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op9_quotation_links": quotation_links.ORACLE_SQL}

@@ -205,7 +205,7 @@ def verified(groups: DataFrame, docs: DataFrame, words: int, threshold: float, l
                 ["id", "component", "blocks", "block", "sig", "shingles"],
             )
 
-    texts = docs.select(F.coalesce("doc_id", none).alias("key"), "text", F.xxhash64(F.unhex(F.sha2("text", 256))).alias("node"))
+    texts = docs.select(F.coalesce("doc_id", none).alias("key"), "text", text_node().alias("node"))
     found = texts.join(placed, ["key", "node"]).mapInArrow(sets, "id long, component long, blocks int, block int, sig binary, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = found.select("*", other).select("id", "sig", "shingles", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -253,13 +253,13 @@ def _similar(own: np.ndarray, others: list[np.ndarray], threshold: float) -> np.
     return both >= threshold * (len(own) + sizes - both) - 1e-9
 
 
-def _node():
-    """A class's number: a hash of its text's digest."""
-    return F.xxhash64("digest")
+def text_node(text="text"):
+    """A number for each distinct text: a hash of its digest."""
+    return F.xxhash64(F.unhex(F.sha2(text, 256)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links and n_copies of every row.
+    """doc_id, class_id (smallest doc_id of the class), n_links, n_copies and node (of :func:`text_node`) of every row.
 
     Classes are the connected components of links between texts whose shingle sets have at least this similarity;
     exact copies share a class.  n_links counts the other texts linked to a row's text, n_copies the rows with that
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     repeated results; a class without any doc_id has a null class_id.
     """
     least = needed(threshold, tolerance)
-    rows = stored(signed(docs, words).withColumn("node", _node()), "jaccard-rows")
+    rows = stored(signed(docs, words).withColumn("node", F.xxhash64("digest")), "jaccard-rows")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     classes = stored(classes, "jaccard-classes")
     groups = near_groups(classes.select(F.col("node").alias("class"), "sig"), least)
@@ -282,5 +282,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     alone = F.col("n_shingles") == 0
     return rows.select("doc_id", "n_shingles", "node").join(full, "node", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"), "node",
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without all but one of each class: the one with the smallest doc_id.
+
+    Repeated rows leave one.  Texts without words all stay; classes without any doc_id keep one row.
+    """
+    none = F.lit(-(2**63))
+    rows = stored(near_duplicates(docs, **options).withColumn("key", F.coalesce("doc_id", none)), "jaccard-choice")
+    late = rows.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", "node").distinct()
+    left = docs.withColumns({"key_": F.coalesce("doc_id", none), "node_": text_node()})
+    kept = left.join(late, (F.col("key_") == F.col("key")) & F.col("node_").eqNullSafe(F.col("node")), "left_anti")
+    again = rows.where("n_copies > 1").groupBy("key", "node").count().where("count > 1").limit(1).count()
+    if again:  # a row and its own copies
+        filled = kept.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+        kept = filled.dropDuplicates(["key_", "node_"]).union(kept.where(F.trim(F.coalesce("text", F.lit(""))) == ""))
+    return kept.drop("key_", "node_")
