@@ -87,8 +87,13 @@ def anchored(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
     return docs.mapInArrow(run, "prefix long, doc_id long, first int, number int")
 
 
+SUFFIX = "prefix long, doc_id long, first int, number int, words binary, whole binary, spans array<struct<first:int,end:int>>"
+SUFFIX_NAMES = ["prefix", "doc_id", "first", "number", "words", "whole", "spans"]
+
+
 def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """The words of each shared run, for short prefixes; or one row for each of its windows, for long ones.
+    """The words of each shared run, for short prefixes; or a row for each of its windows, for long ones, with the spans
+    that it covers in the text.
 
     ``docs`` has an array ``runs`` of prefix, first, number and long.
     """
@@ -107,20 +112,33 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
             text = [raw[starts[a] : ends[b]] for a, b in zip(base[short].tolist(), (base[short] + number[short] + window - 2).tolist(), strict=True)]
             n = len(short)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix[short]), ids.take(pa.array(short)), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), pa.nulls(n, pa.binary())],
-                ["prefix", "doc_id", "first", "number", "words", "whole"],
+                [pa.array(prefix[short]), ids.take(pa.array(short)), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))],
+                SUFFIX_NAMES,
             )
             far = np.flatnonzero(long)
             if len(far):
                 at = ragged.ranges(base[far], number[far])
-                own = np.repeat(far, number[far])
-                whole = [hashlib.blake2b(b" ".join([raw[starts[j] : ends[j]] for j in range(a, a + window)]), digest_size=16).digest() for a in at.tolist()]
+                own = doc[np.repeat(far, number[far])]
+                seen: dict[bytes, int] = {}
+                code = np.array([seen.setdefault(hashlib.blake2b(b" ".join([raw[starts[j] : ends[j]] for j in range(a, a + window)]), digest_size=16).digest(), len(seen)) for a in at.tolist()])
+                # a window that a text repeats is one row, with the spans that it covers there
+                order = np.lexsort((at, code, own))
+                at, own, code = at[order], own[order], code[order]
+                group = np.r_[True, (own[1:] != own[:-1]) | (code[1:] != code[:-1])]
+                span = group | np.r_[True, at[1:] > at[:-1] + window]
+                heads, tails = np.flatnonzero(span), np.r_[np.flatnonzero(span)[1:], len(at)] - 1
+                lead = np.flatnonzero(group)
+                names = list(seen)
+                row = rows[own[heads]]
+                covered = pa.StructArray.from_arrays([pa.array(at[heads] - row, pa.int32()), pa.array(at[tails] + window - row, pa.int32())], ["first", "end"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(heads, np.r_[lead, len(at)]), pa.int32()), covered)
+                n = len(lead)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prefix[own]), ids.take(pa.array(own)), pa.array(at - rows[doc[own]], pa.int32()), pa.array(np.ones(len(at)), pa.int32()), pa.nulls(len(at), pa.binary()), pa.array(whole, pa.binary())],
-                    ["prefix", "doc_id", "first", "number", "words", "whole"],
+                    [pa.nulls(n, pa.int64()), block.column("doc_id").take(pa.array(own[lead])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([names[c] for c in code[lead].tolist()], pa.binary()), lists],
+                    SUFFIX_NAMES,
                 )
 
-    return docs.mapInArrow(run, "prefix long, doc_id long, first int, number int, words binary, whole binary")
+    return docs.mapInArrow(run, SUFFIX)
 
 
 class SuffixTree:
@@ -162,20 +180,13 @@ def repeats(groups, window: int):
     return doc_id[owner[late]], first[owner[late]] + (at - rows[owner])[late]
 
 
-def _ranges_of(windows: DataFrame, window: int) -> DataFrame:
-    """doc_id and its sorted, merged ranges of words that the windows (doc_id, first, number) cover."""
-    span = F.struct("first", (F.col("first") + F.col("number") + (window - 1)).alias("end"))
-    merged = F.expr("""
-        aggregate(array_sort(collect_set(span)), cast(array() as array<struct<first:int,end:int>>), (a, r) ->
-          case when size(a) > 0 and element_at(a, -1).end >= r.first
-            then concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(element_at(a, -1).end, r.end))))
-            else concat(a, array(named_struct('first', r.first, 'end', r.end))) end)
-    """)
-    return windows.select("doc_id", span.alias("span")).groupBy("doc_id").agg(merged.alias("gone"))
+def _spans_of(found: DataFrame) -> DataFrame:
+    """doc_id and all its spans of words to be removed, which may overlap."""
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("gone"))
 
 
 def earlier_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, first and number of runs of windows that also start in a document with a smaller doc_id."""
+    """doc_id and spans of words of windows that also start in a document with a smaller doc_id."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = stored(anchored(docs, window), "substring-anchors")
     shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).where("low < high")
@@ -198,7 +209,8 @@ def earlier_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     near = found.where("words is not null").select("prefix", "doc_id", "first", "number", "words").repartition(_tasks(found), "prefix").mapInArrow(compare, "doc_id long, first int, number int")
     far = found.where("whole is not null")
     least = far.groupBy("whole").agg(F.min("doc_id").alias("low"))
-    return near.union(far.join(least, "whole").where("doc_id > low").select("doc_id", "first", "number"))
+    span = F.array(F.struct("first", (F.col("first") + F.col("number") + (window - 1)).alias("end")))
+    return near.select("doc_id", span.alias("spans")).union(far.join(least, "whole").where("doc_id > low").select("doc_id", "spans"))
 
 
 def _tasks(found: DataFrame, task_bytes: int = 24 << 20) -> int:
@@ -221,7 +233,7 @@ def cut(docs: DataFrame, window: int = 50, block_bytes: int = 8 << 20) -> DataFr
     copies = keyed.where("text is not null").groupBy("digest_").agg(F.min("doc_id").alias("low_"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = keyed.select("doc_id", "digest_").join(copies, "digest_").where("doc_id > low_").select("doc_id").distinct()
     later = stored(later, "substring-copies")
-    gone = _ranges_of(earlier_repeats(docs.join(later, "doc_id", "left_anti"), window), window)
+    gone = _spans_of(earlier_repeats(docs.join(later, "doc_id", "left_anti"), window))
     marks = gone.select("doc_id", "gone", F.lit(False).alias("copy")).union(later.select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>"), F.lit(True)))
     return _removed(docs, marks, window, block_bytes)
 
