@@ -6,6 +6,8 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,17 +18,36 @@ from tidemark.llm.session import stored, table
 LEAST_SCORE = 0.4
 
 
+#: Columns of documents that stages read or change.  Others go through under names of their own.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(stage):
+    """A stage that keeps all columns as they are called, whatever names its operator uses."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in OWN else f"_other_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), sf_dir)
+        return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+    return run
+
+
+@apart
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents go that have no letter, or that no language is likely for."""
     found = language_id.predicted(docs, language_id.fitted(docs))
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each class of near copies, the document with the smallest doc_id stays."""
     return jaccard_join.one_of_each(docs).select(*docs.columns)
 
 
+@apart
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages that an earlier document has are cut; a document that loses all its words goes."""
     found = substring_dedup.cut(docs)
@@ -37,6 +58,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.withColumns(changed).select(*docs.columns)
 
 
+@apart
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents go of whose words at least one in twenty stands in benchmark windows."""
     hits = decontamination.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), name="hits_")

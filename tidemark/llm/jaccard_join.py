@@ -293,11 +293,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     none = F.lit(-(2**63))
     rows = stored(near_duplicates(docs, **options).withColumn("key", F.coalesce("doc_id", none)), "jaccard-choice")
-    late = rows.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", "node").distinct()
-    left = docs.withColumns({"key_": F.coalesce("doc_id", none), "node_": text_node()})
-    kept = left.join(late, (F.col("key_") == F.col("key")) & F.col("node_").eqNullSafe(F.col("node")), "left_anti")
+    late = rows.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("_late"), F.col("node").alias("_late_node")).distinct()
+    left = docs.withColumns({"_key": F.coalesce("doc_id", none), "_node": text_node()})
+    kept = left.join(late, (F.col("_key") == F.col("_late")) & F.col("_node").eqNullSafe(F.col("_late_node")), "left_anti")
     again = rows.where("n_copies > 1").groupBy("key", "node").count().where("count > 1").limit(1).count()
     if again:  # a row and its own copies
         filled = kept.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-        kept = filled.dropDuplicates(["key_", "node_"]).union(kept.where(F.trim(F.coalesce("text", F.lit(""))) == ""))
-    return kept.drop("key_", "node_")
+        kept = filled.dropDuplicates(["_key", "_node"]).union(kept.where(F.trim(F.coalesce("text", F.lit(""))) == ""))
+    return kept.drop("_key", "_node")

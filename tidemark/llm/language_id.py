@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import ragged
 from .session import small_batches
@@ -218,7 +218,7 @@ def predicted(docs: DataFrame, net: Network, block_bytes: int = 4 << 20) -> Data
             langs, score = predict_block(block.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.limit(0).selectExpr("*", "'' lang_pred", "0D score").schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse:
     """The best ``neighbours`` found of every node."""
     graph = stored(merged(first_lists(codes, neighbours), neighbours), "nn-graph")
     for _ in range(rounds if rounds is not None else max(4, math.ceil(math.log2(max(count, 2)) / 4))):
-        graph = stored(improved(graph, codes, -(-count // NODES), neighbours, reverse), "nn-graph")
+        graph = stored(improved(graph, codes, max(1, -(-count // NODES)), neighbours, reverse), "nn-graph")
     return graph
 
 
@@ -267,8 +267,8 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, ranked: int = 64) ->
 
     Ties go to the smaller vec_id.  Rows with equal vectors are found together, through the smallest ids among them
     (k + 1 are enough for any query).  Vectors that are null, zero, of another length than most, or that hold null or
-    non-finite components take no part.  Fewer candidates than ``k`` give fewer rows; repeated rows with one vec_id
-    count as candidates once.
+    non-finite components take no part.  Fewer candidates than ``k`` give fewer rows; repeated rows count once, as
+    queries and as candidates.
     """
     rows = stored(usable(rows).dropDuplicates(["vec_id", "embedding"]), "nn-rows")
     nodes = stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("id")), "nn-nodes")

@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import ragged
 from .session import small_batches, stored
@@ -227,26 +227,26 @@ def cut(docs: DataFrame, window: int = 50, block_bytes: int = 8 << 20) -> DataFr
     Rows that share a doc_id take nothing from each other.  Columns of these names are replaced.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept", "gone", "digest_", "low_")
-    keyed = docs.withColumn("digest_", F.unhex(F.sha2("text", 256)))
+    docs = docs.drop("n_words", "n_removed", "kept")
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2("text", 256)))
     # copies: doc_id and digest alone are grouped
-    copies = keyed.where("text is not null").groupBy("digest_").agg(F.min("doc_id").alias("low_"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = keyed.select("doc_id", "digest_").join(copies, "digest_").where("doc_id > low_").select("doc_id").distinct()
+    copies = keyed.where("text is not null").groupBy("_digest").agg(F.min("doc_id").alias("_low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = keyed.select("doc_id", "_digest").join(copies, "_digest").where("doc_id > _low").select("doc_id").distinct()
     later = stored(later, "substring-copies")
-    gone = _spans_of(earlier_repeats(docs.join(later, "doc_id", "left_anti"), window))
-    marks = gone.select("doc_id", "gone", F.lit(False).alias("copy")).union(later.select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>"), F.lit(True)))
+    gone = _spans_of(earlier_repeats(docs.select("doc_id", "text").join(later, "doc_id", "left_anti"), window))
+    marks = gone.select("doc_id", F.col("gone").alias("_gone"), F.lit(False).alias("_copy")).union(later.select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>"), F.lit(True)))
     return _removed(docs, marks, window, block_bytes)
 
 
 def _removed(docs: DataFrame, marks: DataFrame, window: int, block_bytes: int) -> DataFrame:
     names = docs.columns
-    schema = docs.limit(0).selectExpr("*", "0L n_words", "0L n_removed", "'' kept").schema
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(batches):
         for block in ragged.blocks(batches, "text", block_bytes):
             data, starts, ends, rows = _words(block.column("text"))
             n = np.diff(rows)
-            gone = block.column("gone")
+            gone = block.column("_gone")
             flat = gone.flatten()
             doc = np.repeat(np.arange(block.num_rows), gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             edge = np.zeros(len(starts) + 1, np.int64)
@@ -254,7 +254,7 @@ def _removed(docs: DataFrame, marks: DataFrame, window: int, block_bytes: int) -
                 np.add.at(edge, rows[doc] + flat.field("first").to_numpy(zero_copy_only=False), 1)
                 np.add.at(edge, rows[doc] + flat.field("end").to_numpy(zero_copy_only=False), -1)
             out = np.cumsum(edge[:-1]) > 0
-            copy = block.column("copy").fill_null(False).to_numpy(zero_copy_only=False) & (n >= window)
+            copy = block.column("_copy").fill_null(False).to_numpy(zero_copy_only=False) & (n >= window)
             out |= np.repeat(copy, n)
             n_removed = ragged.row_sums(out, rows)
             # the bytes of kept words and one byte (a space) after each
@@ -269,7 +269,7 @@ def _removed(docs: DataFrame, marks: DataFrame, window: int, block_bytes: int) -
             kept = [None if no else raw[a : b - 1 if b > a else b].decode() for a, b, no in zip(bounds[:-1].tolist(), bounds[1:].tolist(), null, strict=True)]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(n), pa.array(n_removed), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return docs.join(marks, "doc_id", "left").select(*names, "gone", "copy").mapInArrow(remove, schema)
+    return docs.join(marks, "doc_id", "left").select(*names, "_gone", "_copy").mapInArrow(remove, schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -170,7 +170,13 @@ def _merge(ids, seq, low, take, product, pairs):
             break
         near = np.flatnonzero((made[:-1] | made[1:]) & (at[:-1] == at[1:]))
         rank, _ = pairs.find(out[near], out[near + 1])
-        early = np.unique(at[near[rank <= lows[near]]])
+        early = at[near[rank <= lows[near]]]
+        # between two merges in a row, the first one's product stands beside the second one's left symbol
+        row = np.flatnonzero(take[:-2] & take[2:] & (seq[:-2] == seq[2:]))
+        if len(row):
+            rank, _ = pairs.find(product[row], ids[row + 2])
+            early = np.r_[early, seq[row[rank <= low[row]]]]
+        early = np.unique(early)
         if not len(early):
             break
         first = np.zeros(len(take), bool)
