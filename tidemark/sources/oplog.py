@@ -40,13 +40,9 @@ def before_first(ops: DataFrame, bad: Column) -> DataFrame:
 
 def before_gap(rows: DataFrame) -> DataFrame:
     """Rows of segments (column ``segment``) before the first that is missing, counted from the first present one."""
-    from pyspark.sql import Window
-
-    # segment numbers only: one row for each segment
     numbers = rows.select("segment").distinct()
-    order = Window.orderBy("segment")
-    whole = numbers.withColumn("n", F.row_number().over(order)).withColumn("low", F.min("segment").over(Window.partitionBy())).where(F.col("segment") - F.col("low") == F.col("n") - 1)
-    return rows.join(whole.select("segment"), "segment", "left_semi")
+    hole = numbers.select((F.col("segment") + 1).alias("segment")).join(numbers, "segment", "left_anti").agg(F.min("segment").alias("hole"))
+    return rows.crossJoin(F.broadcast(hole)).where(F.col("segment") < F.col("hole")).drop("hole")
 
 
 def checkpointed(ops: DataFrame, positions: list[int]) -> DataFrame:
