@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +37,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that batches of very long texts fit a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, so that batches of very long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    # workers on this machine import the package from where the driver has it; on a cluster it is installed
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
+def bounded_sample(rows: DataFrame, counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, chosen by a hash of doc_id, whatever the order and the partitions of the table.
+
+    ``counted`` has the same rows, or some more, in columns that are cheap to read; its count sets the share that a hash
+    lets through, so that tasks send the driver little more than the sample in all.
+    """
+    share = min(1.0, 1.2 * most / max(counted.count(), 1))
+    key: Column = F.xxhash64("doc_id", F.lit("sample"))
+    picked = rows.where(F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0))
+    return picked.withColumn("_key", key).orderBy("_key").limit(most).drop("_key")

@@ -219,8 +219,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["doc_id", "inside", "n_tokens", "ids_crc32", "shard", "part"],
                 )
 
-    spark = shards.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(shards.sparkSession)  # a batch ends with the first shard that fills it
     return shards.select("shard", "part", "file").mapInArrow(read, "doc_id long, inside long, n_tokens long, ids_crc32 long, shard long, part long")
 
 
