@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import ragged
-from .session import small_batches
+from .session import bounded_sample, small_batches
 
 STATE, EMBED = 16, 8
 #: Bytes of a chunk in prediction and in training.
@@ -194,11 +194,12 @@ def held_out() -> Column:
 
 
 def fitted(docs: DataFrame, sample_rows: int = 4000, pieces: int = 3, piece_chars: int = 160) -> Network:
-    """Train on at most ``sample_rows`` labelled rows outside the held-out part (the least by a hash of doc_id), and on
+    """Train on at most ``sample_rows`` labelled rows outside the held-out part (chosen by a hash of doc_id), and on
     ``pieces`` pieces of each, whose places a hash chooses."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.col("lang") != UNKNOWN))
+    labelled = F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out()
     place = [F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - piece_chars, F.lit(1)))).cast("int"), F.lit(piece_chars)) for k in range(pieces)]
-    sample = rows.select("lang", F.xxhash64("doc_id").alias("key"), F.array(*place).alias("parts")).orderBy("key", "lang").limit(sample_rows).collect()
+    rows = docs.where(labelled & F.col("text").isNotNull()).select("doc_id", "lang", F.array(*place).alias("parts"))
+    sample = bounded_sample(rows, docs.where(labelled).select("doc_id"), sample_rows).collect()
     pairs = sorted((p, r["lang"]) for r in sample for p in r["parts"] if p.strip())
     return trained([p.encode() for p, _ in pairs], [lang for _, lang in pairs])
 
