@@ -72,19 +72,27 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def anchored(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """A row for each group of windows of a text: prefix, doc_id, anchor's word, first window and number of windows."""
+    """A row for each anchor of a text: prefix, doc_id and its runs of windows (first and number, as pairs of int32).
+
+    A text that repeats a phrase has the same anchor many times, but one row for it.
+    """
 
     def run(batches):
         for block in ragged.blocks(batches, "text", block_bytes):
             data, starts, ends, rows = _words(block.column("text"))
             at, gram, first, number = anchors(ragged.span_hash(data, starts, ends), rows, window)
             doc = np.searchsorted(rows, at, "right") - 1
+            order = np.lexsort((first, gram, doc))
+            gram, doc = gram[order], doc[order]
+            pairs = np.stack([first[order] - rows[doc], number[order]], 1).astype("<i4").tobytes()
+            heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(at) else np.zeros(0, np.int64)
+            limits = (8 * np.r_[heads, len(at)]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), block.column("doc_id").take(pa.array(doc)), pa.array(first - rows[doc], pa.int32()), pa.array(number, pa.int32())],
-                ["prefix", "doc_id", "first", "number"],
+                [pa.array(gram[heads].view(np.int64)), block.column("doc_id").take(pa.array(doc[heads])), pa.array([pairs[i:j] for i, j in zip(limits, limits[1:], strict=False)], pa.binary())],
+                ["prefix", "doc_id", "runs"],
             )
 
-    return docs.mapInArrow(run, "prefix long, doc_id long, first int, number int")
+    return docs.mapInArrow(run, "prefix long, doc_id long, runs binary")
 
 
 SUFFIX = "prefix long, doc_id long, first int, number int, words binary, whole binary, spans array<struct<first:int,end:int>>"
@@ -95,17 +103,20 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
     """The words of each shared run, for short prefixes; or a row for each of its windows, for long ones, with the spans
     that it covers in the text.
 
-    ``docs`` has an array ``runs`` of prefix, first, number and long.
+    ``docs`` has an array ``anchors`` of prefix, runs and long.
     """
 
     def run(batches):
         for block in ragged.blocks(batches, "text", block_bytes):
             data, starts, ends, rows = _words(block.column("text"))
             raw = data.tobytes()
-            runs = block.column("runs")
-            flat = runs.flatten()
-            doc = np.repeat(np.arange(block.num_rows), runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            prefix, first, number, long = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("prefix", "first", "number", "long"))
+            lists = block.column("anchors")
+            flat = lists.flatten()
+            runs = flat.field("runs").to_pylist()
+            several = np.array([len(r) // 8 for r in runs], np.int64)
+            doc = np.repeat(np.repeat(np.arange(block.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), several)
+            prefix, long = (np.repeat(flat.field(f).to_numpy(zero_copy_only=False), several) for f in ("prefix", "long"))
+            first, number = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2).T.astype(np.int64)
             ids = block.column("doc_id").take(pa.array(doc))
             base = rows[doc] + first
             short = np.flatnonzero(~long)
@@ -189,9 +200,9 @@ def earlier_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id and spans of words of windows that also start in a document with a smaller doc_id."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     rows = stored(anchored(docs, window), "substring-anchors")
-    shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size")).where("low < high")
+    shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("runs") / 8).alias("size")).where("low < high")
     runs = rows.join(shared.select("prefix", (F.col("size") > GROUP).alias("long")), "prefix")
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "first", "number", "long")).alias("runs"))
+    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "runs", "long")).alias("anchors"))
     found = stored(suffixes(docs.join(by_doc, "doc_id"), window), "substring-suffixes")
 
     def compare(batches):
