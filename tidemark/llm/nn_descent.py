@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .jaccard_join import _groups
-from .session import stored
+from .session import small_batches, stored
 
 #: Nodes compared with each other at first, and projections.
 LEAF, TREES = 256, 4
-#: Nodes, and queries, of a part.
-NODES, QUERIES = 2000, 256
+#: Nodes, and queries, that a part has at most, and the least number of parts.
+NODES, QUERIES, PARTS = 16384, 512, 8
 GRAPH = "id long, ids array<long>, scores array<float>"
 
 
@@ -40,11 +40,20 @@ def packed_vectors(x: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in table]
 
 
+class Codes:
+    """Packed vectors of a column, which are unpacked where they are asked for."""
+
+    def __init__(self, column: pa.Array):
+        table = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        self.scale = np.ascontiguousarray(table[:, :4]).view("<f4")
+        self.bytes = table[:, 4:].view(np.int8)
+
+    def __getitem__(self, at) -> np.ndarray:
+        return self.bytes[at].astype(np.float32) * self.scale[at]
+
+
 def unpacked(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    table = np.frombuffer(raw, np.uint8).reshape(len(column), -1)
-    scale = np.ascontiguousarray(table[:, :4]).view("<f4")
-    return table[:, 4:].view(np.int8).astype(np.float32) * scale
+    return Codes(column)[:]
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -181,13 +190,14 @@ def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, re
             have, lists = group.filter(pa.array(is_vector)), group.filter(pa.array(~is_vector))
             ids = have.column("id").to_numpy()
             order = np.argsort(ids)
-            ids, x, worst = ids[order], unpacked(have.column("code"))[order], have.column("worst").to_numpy()[order]
-            spot = np.searchsorted(ids, lists.column("near").flatten().to_numpy())
+            codes, worst = Codes(have.column("code")), have.column("worst").to_numpy()
+            spot = order[np.searchsorted(ids[order], lists.column("near").flatten().to_numpy())]
             ends = np.r_[0, np.cumsum(lists.column("near").value_lengths().to_numpy())]
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = spot[a:b]
-                score = x[own] @ x[own].T
+                x = codes[own]
+                score = x @ x.T
                 np.fill_diagonal(score, -np.inf)
                 left, right = np.nonzero(score > worst[own][:, None])
                 found.append((own[left], own[right], score[left, right]))
@@ -202,13 +212,13 @@ def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse:
     """The best ``neighbours`` found of every node."""
     graph = stored(merged(first_lists(codes, neighbours), neighbours), "nn-graph")
     for _ in range(rounds if rounds is not None else max(4, math.ceil(math.log2(max(count, 2)) / 4))):
-        graph = stored(improved(graph, codes, max(1, -(-count // NODES)), neighbours, reverse), "nn-graph")
+        graph = stored(improved(graph, codes, max(PARTS, -(-count // NODES)), neighbours, reverse), "nn-graph")
     return graph
 
 
 def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int, beam: int = 128, steps: int = 3, reverse: int = 60) -> DataFrame:
     """query, and the ids of its beam, after greedy search from the nodes ``starts`` (id); a query is a node."""
-    parts = max(1, -(-count // QUERIES))
+    parts = max(PARTS, -(-count // QUERIES))
     near = stored(both_ways(graph, reverse).select("id", "near"), "nn-search")
     state = starts.join(codes, "id").select(
         F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.col("id").alias("query"), "code",
@@ -223,7 +233,7 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int,
             states, lists, vectors = (group.filter(pa.array(kinds == k)) for k in range(3))
             ids = vectors.column("id").to_numpy()
             order = np.argsort(ids)
-            ids, x = ids[order], unpacked(vectors.column("code"))[order] if len(ids) else None
+            ids, codes = ids[order], Codes(vectors.column("code").take(pa.array(order))) if len(ids) else None
             nodes = lists.column("id").to_numpy()
             order = np.argsort(nodes)
             nodes = nodes[order]
@@ -238,7 +248,7 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int,
                 own = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
                 q = np.frombuffer(r["code"], np.int8, offset=4).astype(np.float32) * np.frombuffer(r["code"], "<f4", 1)
                 q[-1] = 0
-                new = x[own] @ q if len(own) else np.zeros(0, np.float32)
+                new = codes[own] @ q if len(own) else np.zeros(0, np.float32)
                 all_ids, first = np.unique(np.r_[ids[own], beam_ids], return_index=True)
                 all_scores = np.r_[new, score][first]
                 keep = all_ids != r["query"]
@@ -270,6 +280,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, ranked: int = 64) ->
     non-finite components take no part.  Fewer candidates than ``k`` give fewer rows; repeated rows count once, as
     queries and as candidates.
     """
+    small_batches(rows.sparkSession, rows=10_000)
     rows = stored(usable(rows).dropDuplicates(["vec_id", "embedding"]), "nn-rows")
     nodes = stored(rows.groupBy("embedding").agg(F.min("vec_id").alias("id")), "nn-nodes")
     codes = stored(encoded(nodes), "nn-codes")
