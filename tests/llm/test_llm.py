@@ -216,6 +216,16 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.cut(frame(spark, ["a"]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("group", [192, 1])
+def test_substring_dedup_tied_ids(spark, monkeypatch, group):
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 120), ("b", 70), ("c", 200), ("d", 55)))
+    rows = [(1, a), (2, d), (5, f"x y {c} {a}"), (5, b), (5, a), (5, c), (6, f"{b} z"), (6, "short"), (7, f"{c} {d}"), (7, d), (None, a)]
+    got = substring_dedup.digest(substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 50)).collect()
+    known = {i: brute_cut([*((j, u) for j, u in rows if j is not None and j < i[0]), i], 50)[i[0]] for i in rows if i[0] is not None}
+    assert sorted(tuple(r)[1:] for r in got if r["doc_id"] is not None) == sorted(known.values())
+
+
 # 8: n-gram Jaccard join
 
 

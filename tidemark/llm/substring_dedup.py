@@ -72,7 +72,7 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarr
 
 
 def anchored(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """A row for each anchor of a text: prefix, doc_id and its runs of windows (first and number, as pairs of int32).
+    """A row for each anchor of a text: prefix, doc_id, text_key and its runs of windows (first and number, as pairs of int32).
 
     A text that repeats a phrase has the same anchor many times, but one row for it.
     """
@@ -87,16 +87,17 @@ def anchored(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
             pairs = np.stack([first[order] - rows[doc], number[order]], 1).astype("<i4").tobytes()
             heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])]) if len(at) else np.zeros(0, np.int64)
             limits = (8 * np.r_[heads, len(at)]).tolist()
+            own = pa.array(doc[heads])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[heads].view(np.int64)), block.column("doc_id").take(pa.array(doc[heads])), pa.array([pairs[i:j] for i, j in zip(limits, limits[1:], strict=False)], pa.binary())],
-                ["prefix", "doc_id", "runs"],
+                [pa.array(gram[heads].view(np.int64)), block.column("doc_id").take(own), block.column("text_key").take(own), pa.array([pairs[i:j] for i, j in zip(limits, limits[1:], strict=False)], pa.binary())],
+                ["prefix", "doc_id", "text_key", "runs"],
             )
 
-    return docs.mapInArrow(run, "prefix long, doc_id long, runs binary")
+    return docs.mapInArrow(run, "prefix long, doc_id long, text_key long, runs binary")
 
 
-SUFFIX = "prefix long, doc_id long, first int, number int, words binary, whole binary, spans array<struct<first:int,end:int>>"
-SUFFIX_NAMES = ["prefix", "doc_id", "first", "number", "words", "whole", "spans"]
+SUFFIX = "prefix long, doc_id long, text_key long, first int, number int, words binary, whole binary, spans array<struct<first:int,end:int>>"
+SUFFIX_NAMES = ["prefix", "doc_id", "text_key", "first", "number", "words", "whole", "spans"]
 
 
 def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFrame:
@@ -117,13 +118,12 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
             doc = np.repeat(np.repeat(np.arange(block.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), several)
             prefix, long = (np.repeat(flat.field(f).to_numpy(zero_copy_only=False), several) for f in ("prefix", "long"))
             first, number = np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2).T.astype(np.int64)
-            ids = block.column("doc_id").take(pa.array(doc))
             base = rows[doc] + first
             short = np.flatnonzero(~long)
             text = [raw[starts[a] : ends[b]] for a, b in zip(base[short].tolist(), (base[short] + number[short] + window - 2).tolist(), strict=True)]
-            n = len(short)
+            n, row = len(short), pa.array(doc[short])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix[short]), ids.take(pa.array(short)), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))],
+                [pa.array(prefix[short]), block.column("doc_id").take(row), block.column("text_key").take(row), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))],
                 SUFFIX_NAMES,
             )
             far = np.flatnonzero(long)
@@ -143,9 +143,9 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
                 row = rows[own[heads]]
                 covered = pa.StructArray.from_arrays([pa.array(at[heads] - row, pa.int32()), pa.array(at[tails] + window - row, pa.int32())], ["first", "end"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(heads, np.r_[lead, len(at)]), pa.int32()), covered)
-                n = len(lead)
+                n, row = len(lead), pa.array(own[lead])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), block.column("doc_id").take(pa.array(own[lead])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([names[c] for c in code[lead].tolist()], pa.binary()), lists],
+                    [pa.nulls(n, pa.int64()), block.column("doc_id").take(row), block.column("text_key").take(row), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([names[c] for c in code[lead].tolist()], pa.binary()), lists],
                     SUFFIX_NAMES,
                 )
 
@@ -175,12 +175,12 @@ class SuffixTree:
 def repeats(groups, window: int):
     """Windows that a smaller doc_id in the same group has, from the suffix runs of a task's groups."""
     texts = pa.chunked_array([g.column("words") for g in groups]).combine_chunks()
-    doc_id = np.concatenate([g.column("doc_id").to_numpy() for g in groups])
+    doc_id, text_key = (np.concatenate([g.column(c).to_numpy() for g in groups]) for c in ("doc_id", "text_key"))
     first, number = (np.concatenate([g.column(c).to_numpy() for g in groups]).astype(np.int64) for c in ("first", "number"))
     data, starts, ends, rows = _words(texts)
     symbols = pd.factorize(ragged.span_hash(data, starts, ends))[0]
     if len(symbols) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     tree = SuffixTree(symbols, window)
     at = ragged.ranges(rows[:-1], number)  # suffixes that fit in their run; others would cross into the next
     owner = np.repeat(np.arange(len(number)), number)
@@ -188,40 +188,40 @@ def repeats(groups, window: int):
     smallest = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, node, doc_id[owner])
     late = doc_id[owner] > smallest[node]
-    return doc_id[owner[late]], first[owner[late]] + (at - rows[owner])[late]
+    return doc_id[owner[late]], text_key[owner[late]], first[owner[late]] + (at - rows[owner])[late]
 
 
 def _spans_of(found: DataFrame) -> DataFrame:
-    """doc_id and all its spans of words to be removed, which may overlap."""
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("gone"))
+    """doc_id, text_key and all spans of words to be removed there, which may overlap."""
+    return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("gone"))
 
 
 def earlier_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id and spans of words of windows that also start in a document with a smaller doc_id."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    """doc_id, text_key and spans of words of windows that also start in a document with a smaller doc_id."""
+    docs = docs.select("doc_id", "text_key", "text").where("doc_id is not null and text is not null")
     rows = stored(anchored(docs, window), "substring-anchors")
     shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("runs") / 8).alias("size")).where("low < high")
     runs = rows.join(shared.select("prefix", (F.col("size") > GROUP).alias("long")), "prefix")
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("prefix", "runs", "long")).alias("anchors"))
-    found = stored(suffixes(docs.join(by_doc, "doc_id"), window), "substring-suffixes")
+    by_doc = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "runs", "long")).alias("anchors"))
+    found = stored(suffixes(docs.join(by_doc, ["doc_id", "text_key"]), window), "substring-suffixes")
 
     def compare(batches):
         groups = [b for b in batches if b.num_rows]
         if groups:
-            doc_id, at = repeats(groups, window)
-            order = np.lexsort((at, doc_id))
-            doc_id, at = doc_id[order], at[order]
-            head = np.flatnonzero(np.r_[True, (doc_id[1:] != doc_id[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+            doc_id, text_key, at = repeats(groups, window)
+            order = np.lexsort((at, text_key, doc_id))
+            doc_id, text_key, at = doc_id[order], text_key[order], at[order]
+            head = np.flatnonzero(np.r_[True, (doc_id[1:] != doc_id[:-1]) | (text_key[1:] != text_key[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
             number = np.diff(np.r_[head, len(at)])
             for k in range(0, len(head), 100_000):
                 part = head[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id[part]), pa.array(at[part], pa.int32()), pa.array(number[k : k + 100_000], pa.int32())], ["doc_id", "first", "number"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id[part]), pa.array(text_key[part]), pa.array(at[part], pa.int32()), pa.array(number[k : k + 100_000], pa.int32())], ["doc_id", "text_key", "first", "number"])
 
-    near = found.where("words is not null").select("prefix", "doc_id", "first", "number", "words").repartition(_tasks(found), "prefix").mapInArrow(compare, "doc_id long, first int, number int")
+    near = found.where("words is not null").select("prefix", "doc_id", "text_key", "first", "number", "words").repartition(_tasks(found), "prefix").mapInArrow(compare, "doc_id long, text_key long, first int, number int")
     far = found.where("whole is not null")
     least = far.groupBy("whole").agg(F.min("doc_id").alias("low"))
     span = F.array(F.struct("first", (F.col("first") + F.col("number") + (window - 1)).alias("end")))
-    return near.select("doc_id", span.alias("spans")).union(far.join(least, "whole").where("doc_id > low").select("doc_id", "spans"))
+    return near.select("doc_id", "text_key", span.alias("spans")).union(far.join(least, "whole").where("doc_id > low").select("doc_id", "text_key", "spans"))
 
 
 def _tasks(found: DataFrame, task_bytes: int = 24 << 20) -> int:
@@ -235,17 +235,18 @@ def cut(docs: DataFrame, window: int = 50, block_bytes: int = 8 << 20) -> DataFr
 
     Only the first row of a text with several doc_ids is searched: a later copy loses every word, if it has a window
     at all.  A null text has no words and a null ``kept``; rows without a doc_id lose nothing and take nothing away.
-    Rows that share a doc_id take nothing from each other.  Columns of these names are replaced.
+    Rows that share a doc_id take nothing from each other, and what one of them loses another text doesn't: a row is
+    known by its doc_id and a hash of its text.  Columns of these names are replaced.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2("text", 256)))
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).withColumn("_digest", F.unhex(F.sha2("text", 256)))
     # copies: doc_id and digest alone are grouped
     copies = keyed.where("text is not null").groupBy("_digest").agg(F.min("doc_id").alias("_low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = keyed.select("doc_id", "_digest").join(copies, "_digest").where("doc_id > _low").select("doc_id").distinct()
+    later = keyed.select("doc_id", "text_key", "_digest").join(copies, "_digest").where("doc_id > _low").select("doc_id", "text_key").distinct()
     later = stored(later, "substring-copies")
-    gone = _spans_of(earlier_repeats(docs.select("doc_id", "text").join(later, "doc_id", "left_anti"), window))
-    marks = gone.select("doc_id", F.col("gone").alias("_gone"), F.lit(False).alias("_copy")).union(later.select("doc_id", F.lit(None).cast("array<struct<first:int,end:int>>"), F.lit(True)))
+    gone = _spans_of(earlier_repeats(keyed.select("doc_id", "text_key", "text").join(later, ["doc_id", "text_key"], "left_anti"), window))
+    marks = gone.select("doc_id", F.col("text_key").alias("_key"), F.col("gone").alias("_gone"), F.lit(False).alias("_copy")).union(later.select("doc_id", "text_key", F.lit(None).cast("array<struct<first:int,end:int>>"), F.lit(True)))
     return _removed(docs, marks, window, block_bytes)
 
 
@@ -280,7 +281,7 @@ def _removed(docs: DataFrame, marks: DataFrame, window: int, block_bytes: int) -
             kept = [None if no else raw[a : b - 1 if b > a else b].decode() for a, b, no in zip(bounds[:-1].tolist(), bounds[1:].tolist(), null, strict=True)]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(n), pa.array(n_removed), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return docs.join(marks, "doc_id", "left").select(*names, "_gone", "_copy").mapInArrow(remove, schema)
+    return docs.withColumn("_key", F.xxhash64("text")).join(marks, ["doc_id", "_key"], "left").select(*names, "_gone", "_copy").mapInArrow(remove, schema)
 
 
 def digest(out: DataFrame) -> DataFrame:
