@@ -226,6 +226,23 @@ def test_substring_dedup_tied_ids(spark, monkeypatch, group):
     assert sorted(tuple(r)[1:] for r in got if r["doc_id"] is not None) == sorted(known.values())
 
 
+def test_substring_dedup_positions_beyond_the_mask(monkeypatch):
+    rng = np.random.default_rng(8)
+    hashes, rows = rng.integers(0, 1 << 63, 1500).astype(np.uint64), np.array([0, 40, 1200, 1500])
+    want = substring_dedup.anchors(hashes, rows, 50)
+    monkeypatch.setattr(substring_dedup, "_ORDER", np.uint64(0xFFFFFFFFFFFFFF00))
+    for a, b in zip(want, substring_dedup.anchors(hashes, rows, 50), strict=True):
+        assert np.array_equal(a, b)
+    noise = [" ".join(f"{x}{i}" for i in range(900)) for x in "pq"]
+    shared = " ".join(f"s{i}" for i in range(80))
+    data = pa.array([f"{noise[0]} {shared}", f"{shared} {noise[1]}"])
+    found = []
+    for text in data:
+        words, starts, ends, limits = substring_dedup._words(pa.array([text.as_py()]))
+        found.append(set(substring_dedup.anchors(ragged.span_hash(words, starts, ends), limits, 50)[1].tolist()))
+    assert found[0] & found[1]
+
+
 # 8: n-gram Jaccard join
 
 

@@ -58,14 +58,19 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarr
     if n <= 0 or not count.any():
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
-    key = (gram & _ORDER) | np.arange(len(gram), dtype=np.uint64)
-    size = 1
-    while size * 2 <= width:
-        key = np.minimum(key[:-size], key[size:])
-        size *= 2
-    least = np.minimum(key[:n], key[width - size : width - size + n])
+    least = np.empty(n, np.int64)
+    room = int(~_ORDER) + 1  # positions that fit beside a hash; longer blocks are taken in stretches, which overlap by a window
+    for low in range(0, n, room - width + 1):
+        part = gram[low : low + room]
+        key = (part & _ORDER) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while size * 2 <= width:
+            key = np.minimum(key[:-size], key[size:])
+            size *= 2
+        m = len(part) - width + 1
+        least[low : low + m] = low + (np.minimum(key[:m], key[width - size : width - size + m]) & ~_ORDER).astype(np.int64)
     starts = ragged.ranges(rows[:-1], count)
-    at = (least[starts] & ~_ORDER).astype(np.int64)
+    at = least[starts]
     head = np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]
     first = np.flatnonzero(head)
     return at[first], gram[at[first]], starts[first], np.diff(np.r_[first, len(at)])
