@@ -393,6 +393,20 @@ def test_nearest_recall(spark):
     assert hits >= 0.95 * total
 
 
+@pytest.mark.parametrize("lengths", ["five long", "log-uniform"])
+def test_nearest_recall_of_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= (np.where(np.arange(2000) % 400 == 7, 100, 1) if lengths == "five long" else 100 ** rng.random(2000))[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest(rows, every=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q] & set(map(int, want))) for q, want, _ in brute_nearest(np.arange(2000), x, 20, 20)]
+    assert sum(hits) >= 0.9 * 20 * len(hits)
+
+
 def test_nearest_edges(spark):
     same = [1.0, 0.0, 0.5]
     rows = [(i, same) for i in range(60)] + [(100, [float("nan"), 0.0, 1.0]), (120, None), (140, [0.0, 0.0, 0.0]), (160, [1.0, None, 0.0]), (180, [1.0, 2.0]), (200, [9.0, 0.0, 0.0]), (220, [float("inf"), 0.0, 0.0]), (None, same), (40, same)]

@@ -5,16 +5,18 @@ projections.  In each round of NN-descent the neighbours of a node, forward and
 and every node keeps the best of what it had and what it was offered.  Nodes are dealt to parts; a join brings each
 part the vectors that its nodes' neighbours need, once, as bytes; the comparisons are small matrix products in tasks.
 
-Queries start at their own node.  In each step all nodes of the beam that haven't been expanded are, by joins with the
-graph and the vectors, and the best stay in the beam.  The last beam is ranked by the vectors themselves, in double
-precision.
+Queries start at their own node and at the longest nodes.  In each step all nodes of the beam that haven't been expanded
+are, by joins with the graph and the vectors, and the best stay in the beam, until a beam has no such node.  The last beam
+is ranked by the vectors themselves, in double precision.
 
-Largest inner product is reduced to nearness in the graph by one more coordinate, which gives all vectors one length;
-it is 0 in queries.  The rounds' tables are written, so lost executors cost one round at most.
+Largest inner product is reduced to nearness in the graph by one more coordinate, which gives all vectors one length L;
+queries have none.  It is kept apart from the vector's bytes, as what it lacks to L, so that long vectors of the table
+don't coarsen others.  The rounds' tables are written, so lost executors cost one round at most.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -28,15 +30,17 @@ from .session import small_batches, stored
 LEAF, TREES = 256, 4
 #: Nodes, and queries, that a part has at most, and the least number of parts.
 NODES, QUERIES, PARTS = 16384, 512, 8
+#: Longest nodes at which queries start too.
+LONGEST = 64
 GRAPH = "id long, ids array<long>, scores array<float>"
 
 
-def packed_vectors(x: np.ndarray) -> list[bytes]:
-    """Vectors as one scale and signed bytes each."""
+def packed_vectors(x: np.ndarray, lack: np.ndarray, length: float) -> list[bytes]:
+    """Vectors as signed bytes, after their scale, what the added coordinate lacks to ``length``, and that times it."""
     scale = (np.maximum(np.abs(x).max(1), 1e-30) / 127).astype("<f4")
-    table = np.empty((len(x), 4 + x.shape[1]), np.uint8)
-    table[:, :4] = scale.view(np.uint8).reshape(-1, 4)
-    table[:, 4:] = np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8).view(np.uint8)
+    table = np.empty((len(x), 12 + x.shape[1]), np.uint8)
+    table[:, :12] = np.stack([scale, lack, lack * length], 1).astype("<f4").view(np.uint8)
+    table[:, 12:] = np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8).view(np.uint8)
     return [row.tobytes() for row in table]
 
 
@@ -45,11 +49,18 @@ class Codes:
 
     def __init__(self, column: pa.Array):
         table = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-        self.scale = np.ascontiguousarray(table[:, :4]).view("<f4")
-        self.bytes = table[:, 4:].view(np.int8)
+        self.scale, self.lack, self.offset = np.ascontiguousarray(np.ascontiguousarray(table[:, :12]).view("<f4").T)
+        self.bytes = table[:, 12:].view(np.int8)
 
     def __getitem__(self, at) -> np.ndarray:
-        return self.bytes[at].astype(np.float32) * self.scale[at]
+        return self.bytes[at].astype(np.float32) * self.scale[at, None]
+
+    def products(self, at) -> np.ndarray:
+        """Inner products of the lengthened vectors with each other, less the square of their length."""
+        x, lack, offset = self[at], self.lack[at], self.offset[at]
+        out = x @ x.T
+        out += lack[:, None] * lack - offset[:, None] - offset
+        return out
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -66,7 +77,7 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def encoded(nodes: DataFrame) -> DataFrame:
-    """id and code: the vector with the coordinate that gives all one length, as bytes."""
+    """id and code: the vector, and what the coordinate that gives all one length lacks to it, as bytes."""
     squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     longest = nodes.agg(F.max(squared)).first()[0] or 0.0
 
@@ -74,8 +85,9 @@ def encoded(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column("embedding").flatten()).reshape(batch.num_rows, -1)
-                more = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed_vectors(np.c_[x, more]), pa.binary())], ["id", "code"])
+                square, length = (x * x).sum(1), math.sqrt(longest)
+                lack = square / (length + np.sqrt(np.maximum(longest - square, 0)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed_vectors(x, lack, length), pa.binary())], ["id", "code"])
 
     return nodes.select("id", "embedding").mapInArrow(encode, "id long, code binary")
 
@@ -113,9 +125,9 @@ def first_lists(codes: DataFrame, neighbours: int, seed: int = 5) -> DataFrame:
     def compare(batches):
         def leaf(rows: list[pa.RecordBatch]):
             block = pa.concat_batches(rows)
-            ids, x = block.column("id").to_numpy(), unpacked(block.column("code"))
+            ids = block.column("id").to_numpy()
             same = block.column("tree").to_numpy()
-            score = x @ x.T
+            score = Codes(block.column("code")).products(slice(None))
             left, right = np.nonzero((same[:, None] == same) & ~np.eye(len(ids), dtype=bool))
             return _lists(ids, left, right, score[left, right], neighbours)
 
@@ -196,8 +208,7 @@ def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, re
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = spot[a:b]
-                x = codes[own]
-                score = x @ x.T
+                score = codes.products(own)
                 np.fill_diagonal(score, -np.inf)
                 left, right = np.nonzero(score > worst[own][:, None])
                 found.append((own[left], own[right], score[left, right]))
@@ -216,13 +227,14 @@ def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse:
     return graph
 
 
-def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int, beam: int = 128, steps: int = 3, reverse: int = 60) -> DataFrame:
-    """query, and the ids of its beam, after greedy search from the nodes ``starts`` (id); a query is a node."""
+def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int, more: list[int], beam: int = 128, reverse: int = 60) -> DataFrame:
+    """query, and the ids of its beam, after greedy search from the nodes ``starts`` (id), and ``more``; a query is a node."""
     parts = max(PARTS, -(-count // QUERIES))
-    near = stored(both_ways(graph, reverse).select("id", "near"), "nn-search")
+    near = stored(both_ways(graph, reverse).select("id", F.array_distinct(F.concat(F.array("id"), "near")).alias("near")), "nn-search")
+    first = F.array(*(F.lit(i).cast("long") for i in more)).cast("array<long>")
     state = starts.join(codes, "id").select(
         F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.col("id").alias("query"), "code",
-        F.array("id").alias("beam"), F.array(F.lit(-1.0).cast("float")).alias("scores"), F.array().cast("array<long>").alias("done"),
+        F.array_distinct(F.concat(F.array("id"), first)).alias("beam"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<long>").alias("done"),
     )
     none = F.lit(None)
     kind = "part int, query long, code binary, beam array<long>, scores array<float>, done array<long>"
@@ -246,10 +258,10 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int,
                 at = order[np.searchsorted(nodes, fresh)] if len(nodes) else np.zeros(0, np.int64)
                 seen = [flat[ends[i] : ends[i + 1]] for i in at.tolist()]
                 own = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-                q = np.frombuffer(r["code"], np.int8, offset=4).astype(np.float32) * np.frombuffer(r["code"], "<f4", 1)
-                q[-1] = 0
+                q = np.frombuffer(r["code"], np.int8, offset=12).astype(np.float32) * np.frombuffer(r["code"], "<f4", 1)
                 new = codes[own] @ q if len(own) else np.zeros(0, np.float32)
-                all_ids, first = np.unique(np.r_[ids[own], beam_ids], return_index=True)
+                held = beam_ids[: len(score)]  # the first beam has no scores yet; its nodes stand in their own lists
+                all_ids, first = np.unique(np.r_[ids[own], held], return_index=True)
                 all_scores = np.r_[new, score][first]
                 keep = all_ids != r["query"]
                 all_ids, all_scores = all_ids[keep], all_scores[keep]
@@ -260,8 +272,14 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int,
                 types = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-    for _ in range(steps):
+    open_ = F.size(F.array_except("beam", "done")) > 0
+    ended = []
+    while True:
         state = stored(state, "nn-state")
+        ended.append(state.where(~open_).select("query", "beam"))
+        state = state.where(open_)
+        if state.isEmpty():
+            return functools.reduce(DataFrame.union, ended)
         fresh = state.select("part", F.explode(F.array_except("beam", "done")).alias("id")).distinct()
         lists = fresh.join(near, "id").select("part", "id", "near")
         wanted = lists.select("part", F.explode("near").alias("id")).distinct().join(codes, "id")
@@ -269,7 +287,6 @@ def searched(graph: DataFrame, codes: DataFrame, starts: DataFrame, count: int,
         rows = rows.union(lists.select("part", F.lit(1), "id", none.cast("long"), none.cast("binary"), "near", none.cast("array<float>"), none.cast("array<long>")))
         rows = rows.union(wanted.select("part", F.lit(2), "id", none.cast("long"), "code", none.cast("array<long>"), none.cast("array<float>"), none.cast("array<long>")))
         state = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(step, kind)
-    return state.select("query", "beam")
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, ranked: int = 64) -> DataFrame:
@@ -289,7 +306,9 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, ranked: int = 64) ->
     graph = neighbour_graph(codes, count)
     queries = members.where(F.col("vec_id") % every == 0).select("id", F.col("vec_id").alias("query_id"))
     starts = stored(queries.select("id").distinct(), "nn-starts")
-    beams = searched(graph, codes, starts, starts.count())
+    squared = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    longest = [r["id"] for r in nodes.orderBy(F.desc(squared), "id").select("id").limit(LONGEST).collect()]
+    beams = searched(graph, codes, starts, starts.count(), longest)
     # the beam and the query's own node, by the vectors themselves
     pairs = beams.select("query", F.explode(F.concat(F.array("query"), F.slice("beam", 1, ranked))).alias("id"))
     product = F.aggregate(F.zip_with("a", "embedding", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
