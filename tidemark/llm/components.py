@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .session import stored
+from .session import dropped, stored
+
+
+def collapsed(edges: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` (b < a) with the same components: each node's smaller neighbours hang on the smallest of them.
+
+    Edges that tell the same of a node, from many sources, become one.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    near = pairs.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("all"))
+    rest = near.select(F.explode(F.filter("all", lambda x: x != F.col("b"))).alias("a"), "b")
+    return near.select("a", "b").union(rest).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``id`` and ``component`` (the smallest id) of every node of the edges ``a``, ``b`` (any direction, repeats)."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = stored(both, f"{name}-edges")
+    spark = edges.sparkSession
+    once = collapsed(edges)
+    both = stored(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "seen").alias("component"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("over"))
         step = stored(step.join(jump, "component", "left").select("id", "old", F.least("component", "over").alias("component")), f"{name}-labels")
+        dropped(spark, labels)
         labels = step.select("id", "component")
         if not step.where("old <> component").limit(1).count():
+            dropped(spark, both)
             return labels

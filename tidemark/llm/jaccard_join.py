@@ -6,9 +6,11 @@ time: with a uniform prior, k matches among n values leave a Beta(1 + k, 1 + n -
 the pair is dropped once the probability of reaching the threshold falls below the tolerance.  What is left is
 verified on the shingle sets.
 
-Buckets of a bounded size are compared inside a task; larger ones aren't expanded, but joined by a star.  The
-resulting groups are split into blocks, and each pair of blocks is a task's unit of work, which gives counts of links
-and a spanning forest, never pairs.
+Buckets of a bounded size are compared inside a task.  Larger ones aren't expanded: those that share texts are a crowd,
+whose texts are dealt to blocks, and pairs of blocks of signatures (of a bounded size) are compared, so that only pairs that the
+Bayesian look keeps join texts to a group.  Groups are split into blocks of a bounded number of bytes, and each pair of
+blocks is a task's unit of work, which gives counts of links and a spanning forest, never pairs.  In a forest all nodes hang on
+the smallest of their tree, so edges from different blocks and bands collapse.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from .components import components
 from .session import small_batches, stored
 
 HASHES, BAND = 100, 4
-#: Texts of a bucket or a block that a task compares with each other.
-BLOCK = 256
+#: Texts of a bucket that a task compares with each other, texts of a block of a larger group, and bytes of its shingles.
+BLOCK, CROWD, SET_BYTES = 256, 2048, 8 << 20
+#: Rows of a block that are compared with another block at a time.
+STRIP = 128
+#: Copies of a text above which rows are dealt to SALTS tasks in the last join.
+COPIES, SALTS = 64, 64
 #: MinHash values compared between two looks at the posterior.
 LOOK = 10
 _RANDOM = np.random.default_rng(20240229)
@@ -79,7 +85,7 @@ def survivors(left: np.ndarray, right: np.ndarray, same: bool, least: np.ndarray
         first += left[:, i, None] == right[None, :, i]
     keep = first >= least[0]
     if same:
-        keep &= np.tri(len(left), len(right), -1, dtype=bool).T
+        keep &= np.arange(len(right)) > np.arange(len(left))[:, None]
     a, b = np.nonzero(keep)
     match = first[a, b].astype(np.int64)
     for look in range(1, len(least)):
@@ -92,25 +98,46 @@ def survivors(left: np.ndarray, right: np.ndarray, same: bool, least: np.ndarray
     return a, b
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a graph over n nodes."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-            if len(out) == n - 1:
-                break
-    return out
+def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of a graph over nodes with these ids: each node, and the smallest id of its tree."""
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        low = low[low]
+        if (low[root] == root).all():
+            break
+        root = low[root]
+    least = ids.copy()
+    np.minimum.at(least, root, ids)
+    edge = np.flatnonzero(least[root] != ids)
+    return ids[edge], least[root[edge]]
+
+
+def strips(left: np.ndarray, right: np.ndarray, same: bool, least: np.ndarray):
+    """Surviving pairs of two signature blocks, some rows of the left one at a time."""
+    for at in range(0, len(left), STRIP):
+        part = left[at : at + STRIP]
+        if same:
+            a, b = survivors(part, right[at:], True, least)
+            yield a + at, b + at
+        else:
+            a, b = survivors(part, right, False, least)
+            yield a + at, b
+
+
+def joined(left: np.ndarray, right: np.ndarray, same: bool, least: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of the pairs that survive among ``ids``: those of the left block, then (unless ``same``) the right one's."""
+    base = 0 if same else len(left)
+    edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in strips(left, right, same, least):
+        edges.append((np.r_[edges[-1][0], a], np.r_[edges[-1][1], b + base]))
+        if len(edges[-1][0]) > 1 << 20:  # what is joined already needs few edges
+            x, y = forest(*edges[-1], np.arange(len(ids)))
+            edges.append((x, y))
+        edges = edges[-1:]
+    return forest(*edges[-1], ids)
 
 
 def _groups(batches, keys: list[str]):
@@ -176,24 +203,43 @@ def near_groups(classes: DataFrame, least: np.ndarray) -> DataFrame:
 
     def compare(batches):
         for group in _groups(batches, ["band", "key"]):
-            ids = group.column("class").to_numpy()
             sig = _matrix(group.column("sig"), np.uint16, HASHES)
-            edges = forest(*survivors(sig, sig, True, least), len(ids))
-            if edges:
-                x, y = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
+            a, b = joined(sig, sig, True, least, group.column("class").to_numpy())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     small = members.where(F.col("size") <= BLOCK).select("band", "key", "class").join(classes.select("class", "sig"), "class")
     pairs = small.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(compare, "a long, b long")
-    return components(stars.union(pairs), "jaccard-near")
+    crowds = components(stars, "jaccard-crowds").withColumnRenamed("id", "class")
+    size = crowds.groupBy("component").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
+    placed = crowds.join(size, "component").join(classes.select("class", "sig"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+
+    def compare_blocks(batches):
+        for group in _groups(batches, ["component", "i", "j"]):
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            at, ids = group.column("block").to_numpy(), group.column("class").to_numpy()
+            sig = _matrix(group.column("sig"), np.uint16, HASHES)
+            x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
+            a, b = joined(sig[x], sig[y], i == j, least, ids[x] if i == j else ids[np.r_[x, y]])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    crowded = _block_pairs(placed.select("class", "sig", "component", "blocks", "block")).mapInArrow(compare_blocks, "a long, b long")
+    return components(pairs.union(crowded), "jaccard-near")
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of a group's blocks once for each pair of blocks i <= j, sorted by component, i and j."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other")
+    pairs = rows.select("*", other).withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}).drop("_other", "blocks")
+    return pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
 
 def verified(groups: DataFrame, docs: DataFrame, words: int, threshold: float, least: np.ndarray) -> DataFrame:
-    """Edges of forests of the links inside groups of classes, and link counts: rows of a, b (null: a count) and links."""
+    """Edges of forests of the links inside groups of classes, and link counts: rows of a, b and is_count."""
     none = F.lit(-(2**63))
-    size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = groups.join(size, "component").select(F.col("id").alias("node"), F.coalesce("first", none).alias("key"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    size = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n_shingles") * 8 / SET_BYTES)).cast("int").alias("blocks"))
+    placed = groups.join(size, "component").select(F.col("id").alias("node"), F.coalesce("first", none).alias("key"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
 
     def sets(batches):
         for block in ragged.blocks(batches, "text", 8 << 20):
@@ -207,8 +253,6 @@ def verified(groups: DataFrame, docs: DataFrame, words: int, threshold: float, l
 
     texts = docs.select(F.coalesce("doc_id", none).alias("key"), "text", text_node().alias("node"))
     found = texts.join(placed, ["key", "node"]).mapInArrow(sets, "id long, component long, blocks int, block int, sig binary, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = found.select("*", other).select("id", "sig", "shingles", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def verify(batches):
         for group in _groups(batches, ["component", "i", "j"]):
@@ -220,21 +264,21 @@ def verified(groups: DataFrame, docs: DataFrame, words: int, threshold: float, l
             x, y = np.flatnonzero(once & (at == i)), np.flatnonzero(once & (at == j))
             sig = _matrix(group.column("sig"), np.uint16, HASHES)
             own = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
-            a, b = survivors(sig[x], sig[y], i == j, least)
-            a, b = x[a], y[b]
-            ok = np.zeros(len(a), bool)
-            for lo, hi in _runs(a):
-                ok[lo:hi] = _similar(own[a[lo]], [own[k] for k in b[lo:hi].tolist()], threshold)
-            a, b = a[ok], b[ok]
-            links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+            links = np.zeros(len(ids), np.int64)
+            near, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for a, b in strips(sig[x], sig[y], i == j, least):
+                a, b = x[a], y[b]
+                ok = np.zeros(len(a), bool)
+                for lo, hi in _runs(a):
+                    ok[lo:hi] = _similar(own[a[lo]], [own[k] for k in b[lo:hi].tolist()], threshold)
+                a, b = a[ok], b[ok]
+                links += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                near, far = forest(np.r_[near, a], np.r_[far, b], np.arange(len(ids)))
             has = np.flatnonzero(links)
-            edges = np.array(forest(a, b, len(ids)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[ids[has], ids[edges[:, 0]]]), pa.array(np.r_[links[has], ids[edges[:, 1]]]), pa.array(np.r_[np.ones(len(has), bool), np.zeros(len(edges), bool)])],
-                ["a", "b", "is_count"],
-            )
+            a, b = forest(near, far, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[has], a]), pa.array(np.r_[links[has], b]), pa.array(np.r_[np.ones(len(has), bool), np.zeros(len(a), bool)])], ["a", "b", "is_count"])
 
-    return pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(verify, "a long, b long, is_count boolean")
+    return _block_pairs(found).mapInArrow(verify, "a long, b long, is_count boolean")
 
 
 def _runs(values: np.ndarray):
@@ -268,10 +312,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     """
     least = needed(threshold, tolerance)
     rows = stored(signed(docs, words).withColumn("node", F.xxhash64("digest")), "jaccard-rows")
-    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
+    classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = stored(classes, "jaccard-classes")
     groups = near_groups(classes.select(F.col("node").alias("class"), "sig"), least)
-    firsts = groups.join(classes.select(F.col("node").alias("id"), "first"), "id")
+    firsts = groups.join(classes.select(F.col("node").alias("id"), "first", "n_shingles"), "id")
     found = stored(verified(firsts, docs, words, threshold, least), "jaccard-links")
     links = found.where("is_count").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     linked = components(found.where("not is_count").select("a", "b"), "jaccard-linked").withColumnRenamed("id", "node")
@@ -280,12 +324,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     named = linked.join(names, "component").select("node", "class_id")
     full = classes.select("node", "first", "n_copies").join(named, "node", "left").join(links, "node", "left")
     alone = F.col("n_shingles") == 0
-    return rows.select("doc_id", "n_shingles", "node").join(full, "node", "left").select(
+    return _spread(rows.select("doc_id", "n_shingles", "node"), stored(full, "jaccard-full")).select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"), "node",
     )
 
 
+def _spread(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """``rows`` with what is known of their text.  Texts with many copies meet them in several tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int"))
+    many = full.where(F.col("n_copies") > COPIES).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_many", F.lit(True))
+    marked = salted.join(many, ["node", "_salt"], "left").drop("_salt")
+    names = ["doc_id", "n_shingles", "node", *(c for c in full.columns if c != "node")]
+    few = marked.where("_many is null").select("doc_id", "n_shingles", "node").join(full.where(F.col("n_copies") <= COPIES), "node", "left")
+    return marked.where("_many").select(*names).union(few.select(*names))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but one of each class: the one with the smallest doc_id.
 
