@@ -8,9 +8,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tests_llm_brute import brute_cut, brute_hits, brute_links, words
+from tests_llm_brute import brute_cut, brute_hits, brute_links, brute_merge, brute_pack, words
 
-from tidemark.llm import attention_lm, components, decontamination, jaccard_join, language_id, nn_descent, packing, quotation_links, ragged, substring_dedup, subwords, token_counts, wavelet
+from tidemark.llm import attention_lm, components, decontamination, jaccard_join, language_id, nn_descent, packing, quotation_links, ragged, session, substring_dedup, subwords, token_counts, wavelet
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -79,7 +79,9 @@ def test_token_counts_equal_the_library(spark, sample):
     assert token_counts.token_counts(frame(spark, ["a"]).where("false"), path).count() == 0
 
 
-def test_merging_by_rounds_equals_merging_one_by_one():
+@pytest.mark.parametrize("rounds", [48, 2, 0])
+def test_merging_by_rounds_equals_merging_one_by_one(monkeypatch, rounds):
+    monkeypatch.setattr(token_counts, "ROUNDS", rounds)
     rng = np.random.default_rng(0)
     for seed in range(30):
         pieces = list(dict.fromkeys([*"abc", *("".join(rng.choice(list("abc"), rng.integers(2, 6))) for _ in range(25))]))
@@ -88,7 +90,26 @@ def test_merging_by_rounds_equals_merging_one_by_one():
         lists = [rng.integers(0, 3, rng.integers(1, 40)) for _ in range(20)]
         ids, offsets = np.concatenate(lists).astype(np.int64), np.r_[0, np.cumsum([len(x) for x in lists])]
         got = token_counts.merged_counts(ids, np.ones(len(ids), np.int64), offsets, vocab.pairs)
-        assert got.tolist() == [len(token_counts._finish(x.tolist(), vocab.pairs)) for x in lists], seed
+
+        def find(a, b, pairs=vocab.pairs):
+            rank, product = pairs.find(np.array([a]), np.array([b]))
+            return (None, None) if rank[0] == token_counts.NONE else (int(rank[0]), int(product[0]))
+
+        assert got.tolist() == [len(brute_merge(x.tolist(), find)) for x in lists], seed
+
+
+def test_token_counts_of_unspaced_texts():
+    import base64
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(1)
+    words = ["the", "tion", "ing", "ä", "other", "zz", "aaaa", "ß", "日本"]
+    texts = [base64.b64encode(rng.bytes(30_000)).decode(), "".join(rng.choice(words, 5000)), "a" * 4097, "aba" * 999, "日本語" * 400, "=" * 3000]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    _, n = token_counts.count_block(pa.array(texts), token_counts.vocabulary(path))
+    assert n.tolist() == [len(x) for x in library.encode(texts, num_threads=1)]
 
 
 # Subword ids, 4: wavelet matrices, 7: packing
@@ -105,6 +126,26 @@ def test_subwords_equal_the_library(sample, name, kept):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)[:60]
 
 
+@pytest.mark.parametrize(("name", "kept"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_subwords_of_odd_white_space_equal_the_library(name, kept):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    rng = np.random.default_rng(3)
+    marks = ["\xa0", "\u2003", "\u3000", "\x85", "\u2028", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", " ", "  ", "\x01", "a", "Bonjour", "é", "!", "7", "'s", "日", "<|x|>"]
+    batches = [["hello", "\xa0\xa0Bonjour x"], *(["".join(rng.choice(marks, rng.integers(0, 9))) for _ in range(60)] for _ in range(40))]
+    for batch in batches:
+        ids, offsets = subwords.Encoder(public_tokenizers.path(name), kept)(pa.array(batch, pa.string())) if batch is batches[0] else subwords.encoder(public_tokenizers.path(name), kept)(pa.array(batch, pa.string()))
+        for i, t in enumerate(batch):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_wavelet_width():
+    with pytest.raises(ValueError, match="planes"):
+        wavelet.WaveletMatrix.build(np.array([70000, 5]), 16)
+    assert wavelet.WaveletMatrix.build(np.array([70000, 5]), 17).all().tolist() == [70000, 5]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 513, 5000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 50, n).astype(np.uint32) * 997
@@ -133,6 +174,14 @@ def test_wavelet_shards_round_trip(spark, sample):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    out = session.scratch(spark, "wavelet")
+    wavelet.write_shards(frame(spark, texts), path, out, shards=3)
+    shards = spark.read.schema(wavelet.SHARD).parquet(out)
+    own = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    token = own[0][1]
+    assert sorted((r["doc_id"], r["offset"]) for r in wavelet.occurrences(shards, token).collect()) == [(i, k) for i, x in enumerate(own) for k, t in enumerate(x) if t == token]
+    assert {r["token"]: r["n"] for r in wavelet.counted(shards, [token, 2]).collect()} == {token: sum(x.count(token) for x in own), 2: len(own)}
+    assert {r["doc_id"]: r["token"] for r in wavelet.ids_at(shards, 1).collect()} == {i: x[1] for i, x in enumerate(own) if len(x) > 1}
     again = wavelet.encoded(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"), path)
     assert sorted((r["n_tokens"], r["start"]) for r in again.collect()) == [(2, 0), (2, 2), (2, 4)]
     assert wavelet.encoded(frame(spark, ["a"]).where("false"), path).count() == 0
@@ -168,6 +217,17 @@ def test_packing_holds_every_token_once(spark, sample):
     assert packing.packed(frame(spark, ["a"]).where("false"), path).count() == 0
 
 
+def test_packing_cuts_only_where_no_sequence_has_room():
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(rng.pareto(1.1, 4000) * 60 + 1, 30_000).astype(np.int64)
+    pieces = packing.balanced(lengths, 2048, 1.0, 1 / 4096)
+    total = collections.Counter()
+    for doc, _, n, _, _ in pieces:
+        total[doc] += n
+    assert [total[i] for i in range(len(lengths))] == lengths.tolist()
+    assert len(pieces) == brute_pack(lengths.tolist(), 2048, 1.0, 1 / 4096)[0]
+
+
 def test_packing_balances_costs():
     lengths = np.random.default_rng(1).integers(1, 900, 400)
     pieces = np.array(packing.balanced(lengths, 2048, 1.0, 1 / 4096))

@@ -66,3 +66,36 @@ def brute_links(texts, n=5, threshold=0.8):
                 todo.append(u)
         out[i] = (min(min(ids[u]) for u in seen), len(links[t]), len(ids[t]))
     return out
+
+
+def brute_merge(ids, find):
+    """Merge the leftmost pair of the lowest rank until no pair is known; ``find`` gives rank (None) and product."""
+    ids = list(ids)
+    while True:
+        found = [(r, i, p) for i in range(len(ids) - 1) if (r := (f := find(ids[i], ids[i + 1]))[0]) is not None for p in f[1:]]
+        if not found:
+            return ids
+        _, i, p = min(found)
+        ids[i : i + 2] = [p]
+
+
+def brute_pack(lengths, capacity, linear, quadratic):
+    """Sequences and pieces of cost-balanced packing, by trying every sequence."""
+    n = -(-sum(lengths) // capacity)
+    whole = sum(x // capacity for x in lengths)
+    free, cost, pieces, late = [capacity] * (n - whole), [0.0] * (n - whole), whole, []
+    for x in sorted((x % capacity for x in lengths), reverse=True):
+        if x:
+            best = min(((cost[s], s) for s in range(len(free)) if free[s] >= x), default=None)
+            if best is None:
+                late.append(x)
+                continue
+            free[best[1]] -= x
+            cost[best[1]] += linear * x + quadratic * x * x
+            pieces += 1
+    for x in late:
+        while x:
+            s = max(range(len(free)), key=lambda s: (free[s], -s))
+            part = min(x, free[s])
+            free[s], x, pieces = free[s] - part, x - part, pieces + 1
+    return pieces, sum(free)

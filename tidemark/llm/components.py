@@ -14,15 +14,15 @@ def collapsed(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     near = pairs.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("all"))
-    rest = near.select(F.explode(F.filter("all", lambda x: x != F.col("b"))).alias("a"), "b")
-    return near.select("a", "b").union(rest).distinct()
+    rest = F.transform(F.filter("all", lambda x: x != F.col("b")), lambda x: F.struct(x.alias("a"), F.col("b")))
+    return near.select(F.inline(F.concat(F.array(F.struct("a", "b")), rest))).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``id`` and ``component`` (the smallest id) of every node of the edges ``a``, ``b`` (any direction, repeats)."""
     spark = edges.sparkSession
-    once = collapsed(edges)
-    both = stored(once.union(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(collapsed(edges).select(F.inline(ways)), f"{name}-edges")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("id")).agg(F.min("seen").alias("seen"))

@@ -27,7 +27,7 @@ from .session import small_batches, stored
 
 HASHES, BAND = 100, 4
 #: Texts of a bucket that a task compares with each other, texts of a block of a larger group, and bytes of its shingles.
-BLOCK, CROWD, SET_BYTES = 256, 2048, 8 << 20
+BLOCK, CROWD, SET_BYTES = 256, 1024, 8 << 20
 #: Rows of a block that are compared with another block at a time.
 STRIP = 128
 #: Copies of a text above which rows are dealt to SALTS tasks in the last join.

@@ -39,32 +39,28 @@ def balanced(lengths: np.ndarray, capacity: int, linear: float, quadratic: float
     rest = lengths - full * capacity
     order = np.argsort(-rest, kind="stable")  # cost grows with length, so descending length is descending cost
     order = order[rest[order] > 0].tolist()
+    spots = _Spots(capacity)
     free = {s: capacity for s in range(sequence, n)}
-    queue = [(0.0, s) for s in range(sequence, n)]  # cost and sequence, lowest cost first
     cost = dict.fromkeys(free, 0.0)
+    for s in free:
+        spots.add(capacity, 0.0, s)
 
     def put(doc: int, start: int, length: int, s: int) -> None:
         pieces.append((doc, start, length, s, capacity - free[s]))
         free[s] -= length
         cost[s] += linear * length + quadratic * length * length
         if free[s]:
-            heapq.heappush(queue, (cost[s], s))
+            spots.add(free[s], cost[s], s)
 
     late: list[tuple[int, int, int]] = []
     for doc in order:
         start, length = int(full[doc]) * capacity, int(rest[doc])
-        held = []
-        while queue and free[queue[0][1]] < length:
-            held.append(heapq.heappop(queue))
-            if len(held) == TRIES:
-                break
-        if queue and free[queue[0][1]] >= length:
-            put(doc, start, length, heapq.heappop(queue)[1])
-        else:
+        s = spots.cheapest(length)
+        if s is None:
             late.append((doc, start, length))
-        for item in held:
-            heapq.heappush(queue, item)
-    room = [(-free[s], s) for _, s in queue]
+        else:
+            put(doc, start, length, s)
+    room = [(-f, s) for s, f in free.items() if f]
     heapq.heapify(room)
     for doc, start, length in late:
         while length:
@@ -78,8 +74,50 @@ def balanced(lengths: np.ndarray, capacity: int, linear: float, quadratic: float
     return pieces
 
 
-#: Sequences without room that a piece is tried on, before it is set aside to be cut.
-TRIES = 64
+class _Spots:
+    """Sequences by their free tokens and, among those with room enough, by cost: a tree over numbers of free tokens
+    whose nodes hold the lowest (cost, sequence) below them."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list] = [[] for _ in range(self.size)]
+        self.least = [self.NONE] * (2 * self.size)
+
+    def _renew(self, room: int) -> None:
+        at = room + self.size
+        self.least[at] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while at > 1:
+            at >>= 1
+            best = min(self.least[2 * at], self.least[2 * at + 1])
+            if self.least[at] == best:
+                break
+            self.least[at] = best
+
+    def add(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        if self.heaps[room][0] == (cost, sequence):
+            self._renew(room)
+
+    def cheapest(self, length: int) -> int | None:
+        """Take out the sequence of lowest cost with at least this room."""
+        low, high, best = length + self.size, 2 * self.size, (self.NONE, 0)
+        while low < high:
+            if low & 1:
+                best, low = min(best, (self.least[low], low)), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, (self.least[high], high))
+            low, high = low >> 1, high >> 1
+        if best[0] == self.NONE:
+            return None
+        at = best[1]
+        while at < self.size:
+            at = 2 * at + (self.least[2 * at] != best[0])
+        heapq.heappop(self.heaps[at - self.size])
+        self._renew(at - self.size)
+        return best[0][1]
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, linear: float = 1.0, quadratic: float = 1 / 4096, group_bytes: int = 16 << 20) -> DataFrame:

@@ -124,23 +124,30 @@ class Encoder:
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and how many each has.  Many pieces go to the library as one text, between marks."""
         lengths = np.zeros(len(texts), np.int64)
-        odd = [i for i, t in enumerate(texts) if self.mark in t or "<|" in t or t[-1:].isspace() or not t.strip()]
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(odd)
-        for k, ids in enumerate(self.encode([texts[i] for i in odd])):
-            lengths[odd[k]], parts[k] = len(ids), np.array(ids, np.uint32)
-        apart = set(odd)
-        plain = [i for i in range(len(texts)) if i not in apart] if odd else range(len(texts))
-        joined = [self.between.join([texts[i] for i in plain[k : k + JOIN]]) + self.between for k in range(0, len(plain), JOIN)]
-        flat = np.fromiter((i for x in self.encode(joined) for i in x), np.uint32)
-        at = np.flatnonzero(flat == self.mark_id)
-        lengths[plain] = np.diff(np.r_[-1, at]) - 1
+        # white space at an end may go together with the mark, but for one space that a word follows
+        wide = lambda t: t[-1:].isspace() or (t[:1].isspace() and (t[0] != " " or t[1:2].isspace()))
+        apart = {i for i, t in enumerate(texts) if self.mark in t or "<|" in t or wide(t)}
+        plain = [i for i in range(len(texts)) if i not in apart] if apart else list(range(len(texts)))
+        groups = [plain[k : k + JOIN] for k in range(0, len(plain), JOIN)]
+        parts: dict[int, np.ndarray] = {}
+        for group, ids in zip(groups, self.encode([self.between.join([texts[i] for i in g]) + self.between for g in groups]), strict=True):
+            flat = np.array(ids, np.uint32)
+            at = np.flatnonzero(flat == self.mark_id)
+            if len(at) == len(group):
+                lengths[group] = np.diff(np.r_[-1, at]) - 1
+                parts[group[0]] = flat[flat != self.mark_id]
+            else:  # a mark was lost
+                apart.update(group)
+        odd = sorted(apart)
+        for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
+            lengths[i], parts[i] = len(ids), np.array(ids, np.uint32)
         ids = np.zeros(int(lengths.sum()), np.uint32)
-        ends = np.cumsum(lengths)
-        fill = np.ones(len(ids), bool)
-        for i, part in zip(odd, parts, strict=True):
-            ids[ends[i] - lengths[i] : ends[i]] = part
-            fill[ends[i] - lengths[i] : ends[i]] = False
-        ids[fill] = flat[flat != self.mark_id]
+        starts = np.cumsum(lengths) - lengths
+        for group in groups:
+            if group[0] not in apart:
+                ids[ragged.ranges(starts[group], lengths[group])] = parts[group[0]]
+        for i in odd:
+            ids[starts[i] : starts[i] + lengths[i]] = parts[i]
         return ids, lengths
 
     def _add(self, keys: list[int], texts: list[str]) -> None:

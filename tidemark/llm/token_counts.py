@@ -1,9 +1,11 @@
 """Token counts by rank-synchronous array merging.
 
 A batch of texts becomes pre-tokens (a run of spaces and what follows it, up to the next space).  The distinct
-pre-tokens of a batch lie in ragged numpy arrays of symbol ids.  In each round every pre-token finds the lowest rank
-among its adjacent pairs and merges the pairs of that rank, left to right; when no pre-token has a pair in the
-vocabulary, what is left are the tokens.  A character outside the vocabulary counts as many tokens as it has bytes.
+pre-tokens of a batch lie in ragged numpy arrays of symbol ids, cut where two characters meet that no piece holds side by side, since no merge can
+cross there.  In each round every sequence finds the lowest rank among its adjacent pairs and merges the pairs of that
+rank, left to right; when no sequence has a pair in the vocabulary, what is left are the tokens.  The few long sequences
+that need many rounds go on as linked arrays: the places of a rank are kept together, so that a round touches only the
+pairs of the lowest rank.  A character outside the vocabulary counts as many tokens as it has bytes.
 
 The work is a map over batches: no shuffle, memory bounded by the batch.
 """
@@ -24,7 +26,7 @@ from .session import small_batches
 SPACE = 0x20
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
-#: Rounds after which the few pre-tokens that still merge are finished one by one.
+#: Rounds over whole arrays, after which the few sequences that still merge go on as linked arrays.
 ROUNDS = 48
 
 
@@ -81,6 +83,7 @@ class Vocabulary:
                 self.chars[ord(p)] = i
         order = np.unique(-np.asarray(scores), return_inverse=True)[1]
         rows = [(ids[p[:k]], ids[p[k:]], order[i], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        self.beside = np.unique(np.array([ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:], strict=False)], np.int64))
         # a character outside the vocabulary may stand in a piece too, but never merges by itself into a known pair
         self.pairs = PairTable(*(np.array([r[k] for r in rows], np.int64) for k in range(4)))
 
@@ -95,31 +98,71 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], plain)
 
 
-def _finish(ids: list[int], pairs: PairTable) -> list[int]:
-    """Merge one long sequence by a queue of its pairs (rank first, then left to right)."""
-    n = len(ids)
-    left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    queue: list[tuple[int, int, int, int, int]] = []
-
-    def push(at: np.ndarray, to: np.ndarray) -> None:
-        rank, product = pairs.find(np.array([ids[i] for i in at]), np.array([ids[i] for i in to]))
-        for i, j, r, p in zip(at, to, rank.tolist(), product.tolist(), strict=True):
-            if r != NONE:
-                heapq.heappush(queue, (r, i, ids[i], ids[j], p))
+def _linked(ids: np.ndarray, seq: np.ndarray, pairs: PairTable) -> np.ndarray:
+    """The sequence of each merge in ragged sequences: rank by rank, all places of the lowest rank at once.
 
-    push(list(range(n - 1)), list(range(1, n)))
+    Sequences don't touch each other, so the lowest rank of all is the lowest of each sequence that has it.
+    """
+    n = len(ids)
+    ids = ids.copy()
+    left, right, alive = np.arange(-1, n - 1), np.append(np.arange(1, n), -1), np.ones(n, bool)
+    cut = np.flatnonzero(seq[1:] != seq[:-1])
+    right[cut], left[cut + 1] = -1, -1
+    places: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+    gone = []
+
+    def push(at: np.ndarray) -> None:
+        at = at[(at >= 0) & (right[at] >= 0)]
+        rank, _ = pairs.find(ids[at], ids[right[at]])
+        at, rank = at[rank != NONE], rank[rank != NONE]
+        order = np.argsort(rank, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(at) else ():
+            r = int(rank[part[0]])
+            if r not in places:
+                places[r] = []
+                heapq.heappush(queue, r)
+            places[r].append(at[part])
+
+    push(np.arange(n))
     while queue:
-        _, i, a, b, p = heapq.heappop(queue)
-        j = right[i]
-        if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
+        low = heapq.heappop(queue)
+        at = np.unique(np.concatenate(places.pop(low)))
+        at = at[alive[at] & (right[at] >= 0)]
+        rank, product = pairs.find(ids[at], ids[right[at]])
+        at, product = at[rank == low], product[rank == low]
+        if not len(at):
             continue
-        ids[i], alive[j], right[i] = p, False, right[j]
-        if right[j] >= 0:
-            left[right[j]] = i
-        near = [(x, y) for x, y in ((left[i], i), (i, right[i])) if x >= 0 and y >= 0]
-        if near:
-            push([x for x, _ in near], [y for _, y in near])
-    return [x for x, ok in zip(ids, alive, strict=True) if ok]
+        # of places that overlap (a a a) each second one goes, counted from the first of a run
+        head = np.append(True, right[at[:-1]] != at[1:])
+        origin = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        take = (np.arange(len(at)) - origin) % 2 == 0
+        every, at, product = at, at[take], product[take]
+        # where a merge makes a pair of no higher rank, only the first merge of its sequence is done now
+        over = right[at]
+        before = left[at] >= 0
+        lower = np.zeros(len(at), bool)
+        lower[before] = pairs.find(ids[left[at[before]]], product[before])[0] <= low
+        after = np.where(over >= 0, right[over], -1)
+        ok = after >= 0
+        lower[ok] |= pairs.find(product[ok], ids[after[ok]])[0] <= low
+        side = np.flatnonzero(after[:-1] == at[1:])  # two merges side by side
+        lower[side] |= pairs.find(product[side], product[side + 1])[0] <= low
+        if lower.any():
+            first = np.append(True, seq[at[1:]] != seq[at[:-1]])
+            stop = np.isin(seq[at], seq[at[lower]]) & ~first
+            if stop.any():
+                places[low] = [every[np.isin(seq[every], seq[at[stop]])]]
+                heapq.heappush(queue, low)
+                at, product = at[~stop], product[~stop]
+        over = right[at]
+        ids[at], alive[over] = product, False
+        right[at] = right[over]
+        has = right[at] >= 0
+        left[right[at[has]]] = at[has]
+        gone.append(seq[at])
+        push(np.unique(np.r_[left[at], at]))
+    return np.concatenate(gone) if gone else np.zeros(0, np.int64)
 
 
 def merged_counts(ids: np.ndarray, weights: np.ndarray, offsets: np.ndarray, pairs: PairTable) -> np.ndarray:
@@ -152,9 +195,8 @@ def merged_counts(ids: np.ndarray, weights: np.ndarray, offsets: np.ndarray, pai
         take[at[(at - origin) % 2 == 0]] = True
         ids, seq, low, removed = _merge(ids, seq, low, take, product, pairs)
         np.subtract.at(count, removed, 1)
-    rest = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    for a, b in zip(rest.tolist(), np.r_[rest[1:], len(ids)].tolist() if len(rest) else [], strict=True):
-        count[seq[a]] -= (b - a) - len(_finish(ids[a:b].tolist(), pairs))
+    if len(ids):
+        np.subtract.at(count, _linked(ids, seq, pairs), 1)
     return count
 
 
@@ -227,7 +269,12 @@ def count_block(texts, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     ids = vocab.chars[points]
     weights = np.where(ids < 0, char_bytes, 1)
     ids = np.where(ids < 0, vocab.size + points.astype(np.int64), ids)  # unknown characters stay apart, and never merge
-    count = merged_counts(ids.astype(np.int64), weights, char_offsets, vocab.pairs)
+    # no merge goes over two characters that no piece holds side by side
+    beside = points[:-1].astype(np.int64) << 21 | points[1:]
+    known = np.minimum(np.searchsorted(vocab.beside, beside), len(vocab.beside) - 1)
+    parts = np.union1d(char_offsets, np.flatnonzero(vocab.beside[known] != beside) + 1) if len(vocab.beside) and len(points) > 1 else np.unique(char_offsets)
+    part_count = merged_counts(ids.astype(np.int64), weights, parts, vocab.pairs)
+    count = ragged.row_sums(part_count, np.searchsorted(parts, char_offsets))
     n_tokens[rows] = ragged.row_sums(count[codes], np.r_[np.searchsorted(begin, at), len(begin)])
     return n_bytes, n_tokens
 

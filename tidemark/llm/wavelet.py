@@ -35,6 +35,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> levels:
+            raise ValueError(f"id {int(ids.max())} needs more than {levels} planes")
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for level in range(levels):
@@ -169,11 +171,12 @@ def load(raw: bytes) -> tuple[WaveletMatrix, pa.Array, np.ndarray]:
 SHARD = "shard long, part long, n_ids long, file binary"
 
 
-def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = 16 << 20, levels: int = 16) -> None:
+def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = 16 << 20) -> None:
     """Encode all texts in ascending doc_id order and write one wavelet file for each shard under ``out``.
 
     The files are rows of a binary table, which Spark's writers commit whole or not at all.  ``shard`` counts ranges of
-    doc_id, ``part`` the shards of a range.  A null text has the end id alone; null doc_ids come first.
+    doc_id, ``part`` the shards of a range.  A null text has the end id alone; null doc_ids come first.  There are as many
+    planes as the vocabulary's ids have bits.
     """
     small_batches(docs.sparkSession)
 
@@ -181,6 +184,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 2, shards:
         from pyspark import TaskContext
 
         encoder = subwords.encoder(path, kept=True)
+        levels = max(encoder.tokenizer.get_vocab_size() - 1, end_id).bit_length()
         for part, block in enumerate(blocks(batches, "text", shard_bytes)):
             ids, offsets = subwords.with_end(*encoder(block.column("text")), end_id)
             raw = dump(WaveletMatrix.build(ids, levels), block.column("doc_id"), np.diff(offsets))
@@ -223,6 +227,49 @@ def read_shards(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "part", "file").mapInArrow(read, "doc_id long, inside long, n_tokens long, ids_crc32 long, shard long, part long")
 
 
+def _asked(shards: DataFrame, answer, schema: str) -> DataFrame:
+    """Rows that ``answer`` gives for a shard's matrix, doc_ids and documents' ends; one file is open at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("file"):
+                matrix, doc_ids, lengths = load(raw.as_py())
+                yield from answer(matrix, doc_ids, np.cumsum(lengths))
+
+    return shards.select("file").mapInArrow(run, schema)
+
+
+def counted(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """token and n: how often each id stands in all shards, by rank at the ends of their matrices."""
+
+    def answer(matrix, doc_ids, ends):
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())], ["token", "n"])
+
+    return _asked(shards, answer, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """doc_id and offset (in its document) of each occurrence of an id, by select."""
+
+    def answer(matrix, doc_ids, ends):
+        at = np.array([matrix.select(token, k) for k in range(matrix.count(token))], np.int64)
+        doc = np.searchsorted(ends, at, "right")
+        yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(at - np.r_[0, ends][doc])], ["doc_id", "offset"])
+
+    return _asked(shards, answer, "doc_id long, offset long")
+
+
+def ids_at(shards: DataFrame, offset: int) -> DataFrame:
+    """doc_id and token: the id at an offset of each document that is long enough, by access."""
+
+    def answer(matrix, doc_ids, ends):
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        own = np.flatnonzero(starts + offset < ends)
+        yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(own)), pa.array([matrix.access(int(starts[i]) + offset) for i in own], pa.int64())], ["doc_id", "token"])
+
+    return _asked(shards, answer, "doc_id long, token long")
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Write the shards of all documents and read them back: doc_id, start, n_tokens and ids_crc32 of each document.
 
