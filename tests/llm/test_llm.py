@@ -400,31 +400,87 @@ def test_lm_base_scores(spark, sample, frequent):
         assert np.isfinite(got[i]["score"]) and got[i]["score"] < 0
 
 
-def test_lm_windows_score_each_token_once():
+def small_model(n, steps=20):
     rng = np.random.default_rng(0)
-    texts = [rng.integers(0, 40, n) for n in (1, 5, 32, 33, 56, 57, 200, 0)]
+    texts = [rng.integers(0, 40, k) for k in n]
     ids, offsets = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
-    model = attention_lm.trained(ids, offsets, 40, 41, steps=20)
+    return texts, ids, offsets, attention_lm.trained(attention_lm.Model.start(np.bincount(ids, minlength=60), 1), ids, offsets, 40, steps=steps)
+
+
+def test_lm_windows_score_each_token_once():
+    size, context = attention_lm.WINDOW, attention_lm.CONTEXT
+    texts, ids, offsets, model = small_model((1, 5, size, size + 1, 2 * size - context, 2 * size - context + 1, 400, 0))
     got = model.score(ids, offsets, 40)
     for k, t in enumerate(texts):
-        flow, total = np.r_[40, t], 0.0
+        flow = np.r_[40, t]
         for j in range(len(t)):  # each token from its window's start
-            first = 0 if j < 32 else ((j - 8) // 24) * 24
-            x = np.zeros((1, 32), np.int64)
+            first = 0 if j < size else ((j - context) // (size - context)) * (size - context)
+            x = np.zeros((1, size), np.int64)
             x[0, : j - first + 1] = model.index[flow[first : j + 1]]
             z = model.hidden(x)[j - first : j - first + 1]
-            total += float(model.log_probability(z, model.index[t[j : j + 1]])[0])
-        assert got[k] == pytest.approx(total / np.log(10), rel=1e-3, abs=1e-6)
-    everything = model.log_probability(np.repeat(model.hidden(np.zeros((1, 32), np.int64))[:1], len(model.w["members"]), 0), np.arange(len(model.w["members"])))
+            want = float(model.log_probability(z, model.index[t[j : j + 1]])[0]) / np.log(10)
+            assert got[offsets[k] + j] == pytest.approx(want, rel=1e-3, abs=1e-6)
+    entries = len(model.w["mixed"])
+    everything = model.log_probability(np.repeat(model.hidden(np.zeros((1, size), np.int64))[:1], entries, 0), np.arange(entries))
     everything[-1] += np.log(model.missing)
     assert np.exp(everything).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_lm_gradient():
+    _, ids, _, model = small_model((400,), 3)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    x = model.index[ids[: 2 * attention_lm.WINDOW]].reshape(2, -1)
+    y = model.index[ids[1 : 2 * attention_lm.WINDOW + 1]].reshape(2, -1)
+    _, g = model.gradient(x, y)
+    rng = np.random.default_rng(1)
+    for name, value in model.w.items():
+        for at in zip(*(rng.integers(0, k, 6) for k in value.shape), strict=True):
+            if name == "mixed" and at[1] == 0:
+                continue
+            old, loss = value[at], []
+            for step in (1e-4, -1e-4):
+                value[at] = old + step
+                loss.append(model.gradient(x, y)[0])
+            value[at] = old
+            assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(float(g[name][at]), rel=2e-2, abs=2e-6), name
+
+
+def test_lm_phrase_memory(spark):
+    rng = np.random.default_rng(2)
+    first = rng.integers(0, 30, 900)
+    texts = [first, first, np.r_[rng.integers(0, 30, 50), first[200:700]], rng.integers(0, 30, 300), first[:3], np.zeros(0, np.int64), rng.integers(0, 30, 2)]
+    ids, offsets = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
+    at, context, phrase = attention_lm.phrases(ids, offsets)
+    ends = np.r_[at[1:], len(ids)]
+    rows, count = [], collections.Counter()
+    held = {4, 2}
+    for k in range(len(texts)):
+        own = [i for i in range(len(at)) if offsets[k] <= at[i] < offsets[k + 1]]
+        assert not len(texts[k]) or (at[own[0]] == offsets[k] and context[own[0]] == 0)
+        rows.append((k, k in held, [(int(np.int64(context[i])), int(np.int64(phrase[i])), -0.5 * int(ends[i] - at[i])) for i in own]))
+        if k not in held:
+            count.update((int(np.int64(context[i])), tuple(ids[at[i] : ends[i]])) for i in own)
+    assert len(at) > 10
+    df = spark.createDataFrame(rows, "row long, held_out boolean, phrases array<struct<context long, phrase long, score double>>")
+    got = {r["row"]: r["gain"] for r in attention_lm.remembered(df).collect()}
+    for k in range(len(texts)):
+        want = 0.0
+        for i in [i for i in range(len(at)) if offsets[k] <= at[i] < offsets[k + 1]]:
+            after = {p: c for (x, p), c in count.items() if x == int(np.int64(context[i]))}
+            n, t, score = sum(after.values()), len(after), -0.5 * int(ends[i] - at[i])
+            if n:
+                want += np.log10(max(after.get(tuple(ids[at[i] : ends[i]]), 0) - 1, 0) / n + t / n * 10.0**score) - score
+        assert got.get(k, 0.0) == pytest.approx(want, abs=1e-9)
+    assert got[0] > 100 and got[2] > 50
+
+
 def test_lm_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = attention_lm.scored(docs, public_tokenizers.path("byte_bpe_50k.json")).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
-    assert got[0] / got[1] > -4.6
-    assert attention_lm.scored(docs.where("false"), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = attention_lm.scored(docs, path).where("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.sum("base_score")).first()
+    print("per word", got[0] / got[1], "counting words", got[2] / got[1])
+    assert got[0] / got[1] > got[2] / got[1] + 0.2
+    assert attention_lm.scored(docs.where("false"), path).count() == 0
 
 
 # 6: nearest neighbours

@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import ragged
 from .components import components
-from .session import small_batches, stored
+from .session import small_batches, spread_join, stored
 
 HASHES, BAND = 100, 4
 #: Texts of a bucket that a task compares with each other, texts of a block of a larger group, and bytes of its shingles.
 BLOCK, CROWD, SET_BYTES = 256, 1024, 8 << 20
 #: Rows of a block that are compared with another block at a time.
 STRIP = 128
-#: Copies of a text above which rows are dealt to SALTS tasks in the last join.
-COPIES, SALTS = 64, 64
 #: MinHash values compared between two looks at the posterior.
 LOOK = 10
 _RANDOM = np.random.default_rng(20240229)
@@ -324,22 +322,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     named = linked.join(names, "component").select("node", "class_id")
     full = classes.select("node", "first", "n_copies").join(named, "node", "left").join(links, "node", "left")
     alone = F.col("n_shingles") == 0
-    return _spread(rows.select("doc_id", "n_shingles", "node"), stored(full, "jaccard-full")).select(
+    return spread_join(rows.select("doc_id", "n_shingles", "node"), stored(full, "jaccard-full"), ["node"], "n_copies").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class_id", "first")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"), "node",
     )
 
 
-def _spread(rows: DataFrame, full: DataFrame) -> DataFrame:
-    """``rows`` with what is known of their text.  Texts with many copies meet them in several tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "node"), F.lit(SALTS)).cast("int"))
-    many = full.where(F.col("n_copies") > COPIES).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_many", F.lit(True))
-    marked = salted.join(many, ["node", "_salt"], "left").drop("_salt")
-    names = ["doc_id", "n_shingles", "node", *(c for c in full.columns if c != "node")]
-    few = marked.where("_many is null").select("doc_id", "n_shingles", "node").join(full.where(F.col("n_copies") <= COPIES), "node", "left")
-    return marked.where("_many").select(*names).union(few.select(*names))
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but one of each class: the one with the smallest doc_id.
 

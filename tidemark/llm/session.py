@@ -42,6 +42,24 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A key with more than this part of all rows is heavy: there can't be more heavy keys than this.
+HEAVY = 4096
+
+
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], weight: str, inner: bool = False) -> DataFrame:
+    """A left (or inner) join whose hot keys meet in every task.
+
+    ``right`` has each key once, with the number of rows that it may meet (``weight``).  Keys with more than one in HEAVY
+    of the whole weight are HEAVY rows at most, and so are broadcast; all others are joined by a shuffle.
+    """
+    limit = (right.agg(F.sum(weight)).first()[0] or 0) / HEAVY
+    heavy = right.where(F.col(weight) > limit).withColumn("_heavy", F.lit(True))
+    near = rows.join(F.broadcast(heavy), keys, "left")
+    names = [*keys, *(c for c in rows.columns if c not in keys), *(c for c in right.columns if c not in keys)]
+    rest = near.where("_heavy is null").select(*rows.columns).join(right.where(F.col(weight) <= limit), keys, "inner" if inner else "left")
+    return near.where("_heavy").select(*names).union(rest.select(*names))
+
+
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 16 << 20) -> None:
     """Bound the rows and the bytes of an Arrow batch, so that batches of very long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
