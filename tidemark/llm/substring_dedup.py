@@ -1,15 +1,16 @@
 """Removal of passages that an earlier document has, by prefix-partitioned suffix trees.
 
-A window is a run of consecutive words; it is named after the least of its word n-grams (its anchor).  Equal windows
-have equal anchors, so suffixes that start in windows of one anchor form a group, and the group's prefix is the
-anchor.  Groups whose anchor stands in one document only can't hold a repeat and are left out.  Where a prefix is
-shared by more suffixes than a task should hold, it is made longer, up to the whole window, and each suffix is placed
-by itself.
-
-Inside a task, the suffixes of its groups form a suffix tree cut at the window's length: nodes of depth 1, 2, 4, ...
-are named by pairs of nodes of half the depth (equal names: equal words), and the deep internal nodes, of the
-window's length, are the repeats.  Each keeps the smallest doc_id below it; a leaf of a larger doc_id starts a window
-to be removed.  Runs of such windows are the maximal repeats.
+Suffixes are taken where a repeat must have one: a window is a run of consecutive words, and its least word n-gram (its
+anchor) is the same in equal windows.  The suffixes that start at one anchor have its n-gram as their prefix, and form a
+group; a run of words around the anchor holds all windows that it belongs to.  Prefixes that stand in one document only
+can't hold a repeat and are left out.  Where a group has more bytes than a task should hold, its windows go on by
+themselves, with a prefix that grows step by step (``STEPS``) until a group is small enough or in one document; at
+the window's whole length the prefix is itself a node of the tree.
+
+A task builds the suffix tree of each of its groups: the order of its suffixes by doubled ranks, the words that
+neighbours share, and from these the internal nodes, each with a depth and an interval of leaves.  Nodes at least as
+deep as a window are the repeats: each has the smallest doc_id below it, and a leaf of a larger one starts a window to
+be removed.  Runs of such windows make up the maximal repeats of a document.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import ragged
-from .session import small_batches, stored
+from .jaccard_join import _groups
+from .session import small_batches, spread_join, stored
 
 #: Words in the n-gram that is a group's shortest prefix.
 GRAM = 10
-#: Suffix runs of a group above which its prefix is made longer.
-GROUP = 192
+#: Bytes of words in a group above which its prefix grows, and the lengths that it grows to before the whole window.
+GROUP_BYTES, STEPS = 1 << 20, (20, 35)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _ORDER = np.uint64(0xFFFFFFFFFF000000)
 
@@ -101,13 +103,14 @@ def anchored(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
     return docs.mapInArrow(run, "prefix long, doc_id long, text_key long, runs binary")
 
 
-SUFFIX = "prefix long, doc_id long, text_key long, first int, number int, words binary, whole binary, spans array<struct<first:int,end:int>>"
-SUFFIX_NAMES = ["prefix", "doc_id", "text_key", "first", "number", "words", "whole", "spans"]
+SPAN = "array<struct<first:int,end:int>>"
+SUFFIX = f"prefix long, doc_id long, text_key long, first int, number int, words binary, prefixes array<long>, whole binary, spans {SPAN}"
+SUFFIX_NAMES = ["prefix", "doc_id", "text_key", "first", "number", "words", "prefixes", "whole", "spans"]
 
 
 def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """The words of each shared run, for short prefixes; or a row for each of its windows, for long ones, with the spans
-    that it covers in the text.
+    """The words of each shared run, for groups that a task can hold; or a row for each of its windows, with its longer
+    prefixes and the spans that it covers in the text.
 
     ``docs`` has an array ``anchors`` of prefix, runs and long.
     """
@@ -127,10 +130,8 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
             short = np.flatnonzero(~long)
             text = [raw[starts[a] : ends[b]] for a, b in zip(base[short].tolist(), (base[short] + number[short] + window - 2).tolist(), strict=True)]
             n, row = len(short), pa.array(doc[short])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix[short]), block.column("doc_id").take(row), block.column("text_key").take(row), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))],
-                SUFFIX_NAMES,
-            )
+            no = [pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays([pa.array(prefix[short]), block.column("doc_id").take(row), block.column("text_key").take(row), pa.array(first[short], pa.int32()), pa.array(number[short], pa.int32()), pa.array(text, pa.binary()), *no], SUFFIX_NAMES)
             far = np.flatnonzero(long)
             if len(far):
                 at = ragged.ranges(base[far], number[far])
@@ -148,9 +149,13 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
                 row = rows[own[heads]]
                 covered = pa.StructArray.from_arrays([pa.array(at[heads] - row, pa.int32()), pa.array(at[tails] + window - row, pa.int32())], ["first", "end"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(heads, np.r_[lead, len(at)]), pa.int32()), covered)
+                hashes = ragged.span_hash(data, starts, ends)
+                longer = np.stack([_grams(hashes, k)[at[lead]].view(np.int64) for k in STEPS], 1)
+                prefixes = pa.ListArray.from_arrays(pa.array(np.arange(len(lead) + 1) * len(STEPS), pa.int32()), pa.array(longer.reshape(-1)))
+                text = [raw[starts[a] : ends[a + window - 1]] for a in at[lead].tolist()]
                 n, row = len(lead), pa.array(own[lead])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), block.column("doc_id").take(row), block.column("text_key").take(row), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([names[c] for c in code[lead].tolist()], pa.binary()), lists],
+                    [pa.nulls(n, pa.int64()), block.column("doc_id").take(row), block.column("text_key").take(row), pa.array(at[lead] - rows[own[lead]], pa.int32()), pa.array(np.ones(n), pa.int32()), pa.array(text, pa.binary()), prefixes, pa.array([names[c] for c in code[lead].tolist()], pa.binary()), lists],
                     SUFFIX_NAMES,
                 )
 
@@ -158,42 +163,106 @@ def suffixes(docs: DataFrame, window: int, block_bytes: int = 8 << 20) -> DataFr
 
 
 class SuffixTree:
-    """A suffix tree over runs of words, cut at a depth: the node of that depth above each suffix."""
-
-    def __init__(self, symbols: np.ndarray, depth: int):
-        """``symbols``: the words of all runs one after the other; suffixes too near the end have no node."""
-        self.depth = depth
-        node, size = symbols, 1
-        while size * 2 <= depth:
-            node = self._named(node[:-size], node[size:])
-            size *= 2
-        if size < depth:
-            node = self._named(node[: len(node) - (depth - size)], node[depth - size :])
-        self.nodes = node
-
-    @staticmethod
-    def _named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """A number for each distinct pair of nodes: the child of one along the words of the other."""
-        return pd.factorize(left.astype(np.int64) << 32 | right.astype(np.int64))[0] if len(left) else left
-
-
-def repeats(groups, window: int):
-    """Windows that a smaller doc_id in the same group has, from the suffix runs of a task's groups."""
-    texts = pa.chunked_array([g.column("words") for g in groups]).combine_chunks()
-    doc_id, text_key = (np.concatenate([g.column(c).to_numpy() for g in groups]) for c in ("doc_id", "text_key"))
-    first, number = (np.concatenate([g.column(c).to_numpy() for g in groups]).astype(np.int64) for c in ("first", "number"))
-    data, starts, ends, rows = _words(texts)
+    """The suffix tree of runs of words: leaves in order, and internal nodes with their depth and interval of leaves."""
+
+    def __init__(self, symbols: np.ndarray, rows: np.ndarray):
+        """``symbols``: numbers of the words of all runs, one run after the other; ``rows``: limits of the runs."""
+        n = len(symbols)
+        self.limit = np.repeat(rows[1:], np.diff(rows)) - np.arange(n)  # words to the run's end
+        rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+        self.ranks, size = [rank], 1
+        longest = int(self.limit.max(initial=0))
+        while size < longest:
+            after = np.full(n, -1, np.int64)  # a run's end differs from all other ends
+            inside = np.flatnonzero(self.limit > size)
+            after[inside] = rank[inside + size]
+            ends = np.flatnonzero(self.limit <= size)
+            after[ends] = -1 - ends
+            order = np.lexsort((after, rank))
+            turn = np.r_[True, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])] if n else np.zeros(0, bool)
+            new = np.empty(n, np.int64)
+            new[order] = np.cumsum(turn) - 1
+            rank, size = new, size * 2
+            self.ranks.append(rank)
+            if n and int(rank.max()) == n - 1:
+                break
+        self.leaves = np.argsort(rank, kind="stable")
+        a, b = self.leaves[:-1].copy(), self.leaves[1:].copy()
+        shared = np.zeros(max(n - 1, 0), np.int64)
+        for level in range(len(self.ranks) - 1, -1, -1):
+            size, ranks = 1 << level, self.ranks[level]
+            ok = (a < n) & (b < n)
+            ok[ok] = (self.limit[a[ok]] >= size) & (self.limit[b[ok]] >= size) & (ranks[a[ok]] == ranks[b[ok]])
+            ok &= (shared + size <= self.limit[self.leaves[:-1]]) & (shared + size <= self.limit[self.leaves[1:]])
+            shared[ok] += size
+            a[ok] += size
+            b[ok] += size
+        self.shared = shared  # words that a leaf has in common with the next one
+
+    def deep(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """First leaf and end of the highest internal nodes of at least this depth."""
+        joined = np.r_[False, self.shared >= depth, False]
+        return np.flatnonzero(~joined[:-1] & joined[1:]), np.flatnonzero(joined[:-1] & ~joined[1:]) + 1
+
+    def nodes(self, depth: int) -> list[tuple[int, int, int]]:
+        """Depth, first leaf and end of all internal nodes of at least this depth."""
+        out = []
+        for low, high in zip(*self.deep(depth), strict=True):
+            stack = [(int(self.shared[low]), int(low))]
+            for i in range(low + 1, high):
+                d = int(self.shared[i]) if i < high - 1 else depth - 1
+                first = i
+                while stack and stack[-1][0] > d:
+                    level, first = stack.pop()
+                    out.append((level, first, i + 1))
+                if d >= depth and (not stack or stack[-1][0] < d):
+                    stack.append((d, first))
+        return out
+
+    def maximal_repeats(self, symbols: np.ndarray, rows: np.ndarray, depth: int) -> list[tuple[int, list[int]]]:
+        """Length and places of the repeats of at least this depth that can't be made longer at either side."""
+        start = np.isin(np.arange(len(symbols)), rows)
+        out = []
+        for level, low, high in self.nodes(depth):
+            at = self.leaves[low:high]
+            before = {-1 - i if start[i] else int(symbols[i - 1]) for i in at.tolist()}
+            if len(before) > 1:
+                out.append((level, sorted(at.tolist())))
+        return out
+
+
+def _tree(groups) -> tuple[SuffixTree, np.ndarray, np.ndarray]:
+    """The tree of a task's groups, its runs' limits and the number of each suffix's run."""
+    data, starts, ends, rows = _words(pa.chunked_array([g.column("words") for g in groups]).combine_chunks())
     symbols = pd.factorize(ragged.span_hash(data, starts, ends))[0]
-    if len(symbols) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tree = SuffixTree(symbols, window)
-    at = ragged.ranges(rows[:-1], number)  # suffixes that fit in their run; others would cross into the next
-    owner = np.repeat(np.arange(len(number)), number)
-    node = tree.nodes[at]
-    smallest = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, node, doc_id[owner])
-    late = doc_id[owner] > smallest[node]
-    return doc_id[owner[late]], text_key[owner[late]], first[owner[late]] + (at - rows[owner])[late]
+    return SuffixTree(symbols, rows), rows, np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+
+
+def _late(groups, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs, and places in them, of windows that a smaller doc_id in the tree has too."""
+    tree, rows, owner = _tree(groups)
+    doc_id = np.concatenate([g.column("doc_id").to_numpy() for g in groups])
+    first, end = tree.deep(window)
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = tree.leaves[ragged.ranges(first, end - first)]
+    heads = np.r_[0, np.cumsum(end - first)[:-1]]
+    smallest = np.repeat(np.minimum.reduceat(doc_id[owner[at]], heads), end - first)
+    late = at[doc_id[owner[at]] > smallest]
+    return owner[late], late - rows[owner[late]]
+
+
+def _by_bytes(batches, limit: int):
+    """The rows of one or more whole groups, about ``limit`` bytes of words at a time."""
+    held, size = [], 0
+    for group in _groups(batches, ["prefix"]):
+        held.append(group)
+        size += group.column("words").nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _spans_of(found: DataFrame) -> DataFrame:
@@ -201,32 +270,49 @@ def _spans_of(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("gone"))
 
 
-def earlier_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def earlier_repeats(docs: DataFrame, window: int = 50, tree_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text_key and spans of words of windows that also start in a document with a smaller doc_id."""
     docs = docs.select("doc_id", "text_key", "text").where("doc_id is not null and text is not null")
     rows = stored(anchored(docs, window), "substring-anchors")
-    shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.octet_length("runs") / 8).alias("size")).where("low < high")
-    runs = rows.join(shared.select("prefix", (F.col("size") > GROUP).alias("long")), "prefix")
+    size = F.sum(F.octet_length("runs") / 8 * 12 * window)  # a run has about as many windows as a window has words, and a word six bytes
+    shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), size.alias("size")).where("low < high")
+    runs = rows.join(shared.select("prefix", (F.col("size") > GROUP_BYTES).alias("long")), "prefix")
     by_doc = runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "runs", "long")).alias("anchors"))
     found = stored(suffixes(docs.join(by_doc, ["doc_id", "text_key"]), window), "substring-suffixes")
 
-    def compare(batches):
-        groups = [b for b in batches if b.num_rows]
-        if groups:
-            doc_id, text_key, at = repeats(groups, window)
+    def of_runs(batches):
+        for groups in _by_bytes(batches, tree_bytes):
+            run, at = _late(groups, window)
+            doc_id, text_key = (np.concatenate([g.column(c).to_numpy() for g in groups])[run] for c in ("doc_id", "text_key"))
+            at = at + np.concatenate([g.column("first").to_numpy() for g in groups])[run]
             order = np.lexsort((at, text_key, doc_id))
             doc_id, text_key, at = doc_id[order], text_key[order], at[order]
-            head = np.flatnonzero(np.r_[True, (doc_id[1:] != doc_id[:-1]) | (text_key[1:] != text_key[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
-            number = np.diff(np.r_[head, len(at)])
+            cut = np.r_[True, (doc_id[1:] != doc_id[:-1]) | (text_key[1:] != text_key[:-1]) | (at[1:] > at[:-1] + 1)] if len(at) else np.zeros(0, bool)
+            head, tail = np.flatnonzero(cut), np.r_[np.flatnonzero(cut)[1:], len(at)] - 1
             for k in range(0, len(head), 100_000):
-                part = head[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id[part]), pa.array(text_key[part]), pa.array(at[part], pa.int32()), pa.array(number[k : k + 100_000], pa.int32())], ["doc_id", "text_key", "first", "number"])
-
-    near = found.where("words is not null").select("prefix", "doc_id", "text_key", "first", "number", "words").repartition(_tasks(found), "prefix").mapInArrow(compare, "doc_id long, text_key long, first int, number int")
-    far = found.where("whole is not null")
-    least = far.groupBy("whole").agg(F.min("doc_id").alias("low"))
-    span = F.array(F.struct("first", (F.col("first") + F.col("number") + (window - 1)).alias("end")))
-    return near.select("doc_id", "text_key", span.alias("spans")).union(far.join(least, "whole").where("doc_id > low").select("doc_id", "text_key", "spans"))
+                a, b = head[k : k + 100_000], tail[k : k + 100_000]
+                span = pa.StructArray.from_arrays([pa.array(at[a], pa.int32()), pa.array(at[b] + window, pa.int32())], ["first", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_id[a]), pa.array(text_key[a]), pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1), pa.int32()), span)], ["doc_id", "text_key", "spans"])
+
+    def of_windows(batches):
+        for groups in _by_bytes(batches, tree_bytes):
+            run = pa.array(np.unique(_late(groups, window)[0]))
+            rows_ = pa.Table.from_batches(groups).select(["doc_id", "text_key", "spans"]).take(run)
+            yield from rows_.to_batches()
+
+    kind = f"doc_id long, text_key long, spans {SPAN}"
+    out = found.where("whole is null").select("prefix", "doc_id", "text_key", "first", "words").repartition(_tasks(found), "prefix").sortWithinPartitions("prefix").mapInArrow(of_runs, kind)
+    left = found.where("whole is not null")
+    for k in range(len(STEPS)):  # prefixes grow; what is left after the last step is as long as the window
+        left = left.withColumn("prefix", F.get("prefixes", F.lit(k)))
+        sizes = left.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("size")).where("low < high")
+        sizes = stored(sizes.select("prefix", "n", (F.col("size") > GROUP_BYTES).alias("more")), "substring-prefixes")
+        left = stored(spread_join(left, sizes, ["prefix"], "n", inner=True).select(*left.columns, "more"), "substring-windows")
+        ready = left.where("not more").select("prefix", "doc_id", "text_key", "words", "spans")
+        out = out.union(ready.repartition(_tasks(ready), "prefix").sortWithinPartitions("prefix").mapInArrow(of_windows, kind))
+        left = left.where("more").drop("more")
+    least = stored(left.groupBy("whole").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "substring-wholes")
+    return out.union(spread_join(left, least, ["whole"], "n", inner=True).where("doc_id > low").select("doc_id", "text_key", "spans"))
 
 
 def _tasks(found: DataFrame, task_bytes: int = 24 << 20) -> int:

@@ -166,11 +166,16 @@ class Encoder:
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's ids."""
+        ids, ends, _, rows = self.parts(texts)
+        return ids, ends[rows]
+
+    def parts(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the offsets of each piece's ids, the last byte of each piece, and each text's first piece."""
         data, offsets = ragged.text_bytes(texts)
         begin, end = (cut_kept if self.kept else cut_words)(data, offsets, self.whole)
         rows = np.searchsorted(begin, offsets)
         if not len(begin):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), begin, rows
         if len(self.known) > CACHE:
             self.clear()
         hashes = ragged.span_hash(data, begin, end)
@@ -185,8 +190,7 @@ class Encoder:
             slots[new] = len(self.known) - len(new) + np.arange(len(new))
         lengths = self.lengths[slots][codes]
         ids = self.pool[ragged.ranges(self.starts[slots][codes], lengths)]
-        ends = np.r_[0, np.cumsum(lengths)]
-        return ids, ends[rows]
+        return ids, np.r_[0, np.cumsum(lengths)], end - 1, rows
 
 
 _encoders: dict[tuple, Encoder] = {}
