@@ -6,8 +6,8 @@ stands in no pattern, else the distance of its last place in a pattern from the
 the hash of the block selects a bucket of patterns, the first word's hash thins it, and the words are compared.
 Many cursors move at once, each over its own stretch of a document, as one array.
 
-The benchmark goes to the executors in parts of bounded size; each part is one more map over the documents, in the
-same stage.  Nothing is shuffled.
+The benchmark goes to the executors in parts of bounded size, one after the other: the driver and a task hold one part at a
+time, and the documents with their hits so far are written between two parts.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import ragged
-from .session import small_batches
+from .session import dropped, small_batches, stored
 
 #: Bytes of words: 0-9, a-z and all bytes beyond ASCII, after A-Z are lower-cased.
 WORD = ragged.byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -171,31 +171,30 @@ _compiled: dict[str, list[Patterns]] = {}
 
 
 def _patterns(part: Broadcast, window: int) -> list[Patterns]:
-    """This worker's tables of a part of the benchmark."""
+    """This worker's tables of the part of the benchmark that it searches for now."""
     key = part.value[0]
     if key not in _compiled:
-        if len(_compiled) > 4:
-            _compiled.clear()
+        _compiled.clear()
         _compiled[key] = compiled(part.value[2], window)
     return _compiled[key]
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[tuple[str, list[str | None], list[str]]]:
-    """The benchmark in parts (a key, item ids as strings, texts), each of about ``part_bytes`` at most."""
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES):
+    """The benchmark in parts (a key, item ids as strings, texts) of about ``part_bytes`` at most, one at a time."""
     size = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-int(size) // part_bytes)
+    n = max(-(-int(size) // part_bytes), 1)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1)))
-    rows = [items.where(part == k).toPandas() for k in range(n)]
-    return [(uuid.uuid4().hex, r["item"].where(r["item"].notna(), None).tolist(), r["text"].tolist()) for r in rows]
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toPandas()
+        yield uuid.uuid4().hex, rows["item"].where(rows["item"].notna(), None).tolist(), rows["text"].tolist(), k == n - 1
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part_bytes: int = PART_BYTES, block_bytes: int = 4 << 20, name: str = "hits") -> DataFrame:
     """All rows and columns of ``docs`` with a struct ``name``: n_words, ranges of hit words, items that occur in it.
 
     A null text has no words.  Items without words, and null texts of items, match nothing; an item without an id
-    hits words but isn't listed.  An empty benchmark leaves all documents without hits.  A column called ``name`` is
-    replaced.
+    hits words but isn't listed.  Repeated rows give repeated results, repeated items hit together; texts of any length are
+    searched whole.  An empty benchmark leaves all documents without hits.  A column called ``name`` is replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -225,9 +224,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, part
 
         return run
 
-    out = docs
-    for k, part in enumerate(benchmark_parts(benchmark, part_bytes) or [(uuid.uuid4().hex, [], [])]):
-        out = out.mapInArrow(scan(spark.sparkContext.broadcast(part), k == 0), schema)
+    out, first = docs, True
+    for *part, last in benchmark_parts(benchmark, part_bytes):
+        shared = spark.sparkContext.broadcast(part)
+        before, out = out, out.mapInArrow(scan(shared, first), schema)
+        if not last:
+            out = stored(out, "benchmark-hits")
+            shared.destroy()
+            if not first:
+                dropped(spark, before)
+        first = False
     return out
 
 

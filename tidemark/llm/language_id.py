@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import ragged
-from .session import bounded_sample, small_batches
+from .session import small_batches
 
 STATE, EMBED = 16, 8
 #: Bytes of a chunk in prediction and in training.
@@ -79,6 +79,7 @@ class Network:
         logits = self.read(x, live, "f")
         logits += self.read(x, live, "b")
         logits += self.w["out0"]
+        logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(1, keepdims=True)
         return logits
@@ -193,14 +194,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, sample_rows: int = 4000, pieces: int = 3, piece_chars: int = 160) -> Network:
-    """Train on at most ``sample_rows`` labelled rows outside the held-out part (chosen by a hash of doc_id), and on
-    ``pieces`` pieces of each, whose places a hash chooses."""
-    labelled = F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & ~held_out()
-    place = [F.substring("text", (1 + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - piece_chars, F.lit(1)))).cast("int"), F.lit(piece_chars)) for k in range(pieces)]
-    rows = docs.where(labelled & F.col("text").isNotNull()).select("doc_id", "lang", F.array(*place).alias("parts"))
-    sample = bounded_sample(rows, docs.where(labelled).select("doc_id"), sample_rows).collect()
-    pairs = sorted((p, r["lang"]) for r in sample for p in r["parts"] if p.strip())
+def fitted(docs: DataFrame, sample_pieces: int = 12_000, piece_chars: int = 160) -> Network:
+    """Train on at most ``sample_pieces`` pieces of labelled rows outside the held-out part.
+
+    Whole texts are cut into pieces of ``piece_chars`` characters, and a hash of doc_id and the piece's number chooses among
+    all of them, so long texts give more.  Rows with a null text, label or doc_id teach nothing; repeated rows count once more.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    n = F.ceil(F.length("text") / piece_chars).cast("int")
+    total = rows.agg(F.sum(n)).first()[0] or 0
+    limit = int(min(1.0, 1.2 * sample_pieces / max(total, 1)) * (1 << 30))
+    chance = lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 30))
+    picked = F.filter(F.sequence(F.lit(0), n - 1), lambda k: chance(k) <= limit)
+    part = F.transform(picked, lambda k: F.struct(chance(k).alias("at"), F.substring(F.col("text"), k * piece_chars + 1, F.lit(piece_chars)).alias("piece"), F.col("lang").alias("lang")))
+    sample = rows.where(n > 0).select(F.inline(part)).where(F.trim("piece") != "").orderBy("at", "piece", "lang").limit(sample_pieces).collect()
+    pairs = sorted((r["piece"], r["lang"]) for r in sample)
     return trained([p.encode() for p, _ in pairs], [lang for _, lang in pairs])
 
 
@@ -223,6 +231,10 @@ def predicted(docs: DataFrame, net: Network, block_bytes: int = 4 << 20) -> Data
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row."""
+    """doc_id, held_out, lang_pred and score of every row.
+
+    ``und`` and 0 for null texts and texts without a letter.  A null doc_id isn't held out, and teaches nothing; repeated rows
+    give repeated results; texts of any length are read whole; an empty table gives no rows.  Columns but doc_id, text and lang aren't read.
+    """
     net = fitted(docs)
     return predicted(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
