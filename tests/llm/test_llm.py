@@ -576,6 +576,8 @@ def test_quotation_links(spark, folder):
         (1, 0, "u", "Hello there.\nSecond line"), (1, 1, "a", "On Mon x wrote:\n> Hello there.\n\nI agree"), (1, 2, "u", ">> hello   THERE.\n> I agree\n\nNo.\n> Second line\nfoo"), (1, 3, "a", "> Hello there.\n> Second line\n\nYes"),
         (1, 3, "a", "> No.\nother"), (1, 4, "u", "> nothing like\nx"), (2, 0, "u", None), (2, 1, None, "> Hello there."), (None, 1, "u", "> a\nb"), (2, None, "u", "> q"), (2, 2, "u", ""), (2, 3, "a", "  >  > deep\n> \n>x\n\n\ny\n"),
         (2, 4, "u", "a\r\nb"), (2, 5, "u", "> a\r\n> b"), (2, 5, "u", "> a\r\n> b"), *((3, i, "u", f"> m{i - 1}\n\nm{i}") for i in range(20)),
+        (4, 0, "u", "one\ntwo\nthree\nfour"), (4, 1, "a", "> two\n> three\n\nyes"), (4, 2, "u", ">> two\n>> three\n> yes\n\nfine"), (4, 3, "a", "> one two\n> three four\nhm"), (4, 4, "u", "> two\n> four\nno"),
+        (4, 5, "u", "> two\n>\n> three\n> four\nok"),
     ]
     got = quotation_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("body", F.lit(1)))
     pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}).to_parquet(f"{folder}/c.parquet")
@@ -588,6 +590,10 @@ def test_quotation_links(spark, folder):
     assert result == sorted(cursor.fetchall(), key=repr)
     depth = {(r[0], r[1]): r[columns.index("depth")] for r in result}
     assert [depth[3, i] for i in range(20)] == list(range(20))
+    linked = {(r[0], r[1]): (r[columns.index("n_linked")], r[columns.index("parent_turn")]) for r in result if r[0] == 4}
+    assert linked == {(4, 0): (0, None), (4, 1): (1, 0), (4, 2): (2, 1), (4, 3): (1, 0), (4, 4): (0, None), (4, 5): (2, 0)}
+    threads = {(r["conv_id"], r["root_turn"], r["part"]): r["text"] for r in quotation_links.assembled(got, 10).collect()}
+    assert threads[3, 0, 1] == "\n".join(f"<|u|>\nm{i}" for i in range(10, 20)) and threads[4, 4, 0] == "<|u|>\nno"
     body = {(r[0], r[1]): r[3] for r in result}
     assert body[1, 2] == "No.\nfoo" and body[1, 1] == "I agree" and body[2, 4] == "a\r\nb"
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -209,8 +209,8 @@ def near_groups(classes: DataFrame, least: np.ndarray) -> DataFrame:
     small = members.where(F.col("size") <= BLOCK).select("band", "key", "class").join(classes.select("class", "sig"), "class")
     pairs = small.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(compare, "a long, b long")
     crowds = components(stars, "jaccard-crowds").withColumnRenamed("id", "class")
-    size = crowds.groupBy("component").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
-    placed = crowds.join(size, "component").join(classes.select("class", "sig"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    size = stored(crowds.groupBy("component").agg(F.count("*").alias("size"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")), "jaccard-sizes")
+    placed = spread_join(crowds, size, ["component"], "size", inner=True).join(classes.select("class", "sig"), "class").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
 
     def compare_blocks(batches):
         for group in _groups(batches, ["component", "i", "j"]):
@@ -236,8 +236,8 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 def verified(groups: DataFrame, docs: DataFrame, words: int, threshold: float, least: np.ndarray) -> DataFrame:
     """Edges of forests of the links inside groups of classes, and link counts: rows of a, b and is_count."""
     none = F.lit(-(2**63))
-    size = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n_shingles") * 8 / SET_BYTES)).cast("int").alias("blocks"))
-    placed = groups.join(size, "component").select(F.col("id").alias("node"), F.coalesce("first", none).alias("key"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    size = groups.groupBy("component").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / CROWD), F.ceil(F.sum("n_shingles") * 8 / SET_BYTES)).cast("int").alias("blocks"))
+    placed = spread_join(groups, stored(size, "jaccard-sizes"), ["component"], "size", inner=True).select(F.col("id").alias("node"), F.coalesce("first", none).alias("key"), "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
 
     def sets(batches):
         for block in ragged.blocks(batches, "text", 8 << 20):
@@ -318,8 +318,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, tol
     links = found.where("is_count").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     linked = components(found.where("not is_count").select("a", "b"), "jaccard-linked").withColumnRenamed("id", "node")
     linked = linked.join(classes.select("node", "first"), "node")
-    names = linked.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = linked.join(names, "component").select("node", "class_id")
+    names = stored(linked.groupBy("component").agg(F.min("first").alias("class_id"), F.count("*").alias("size")), "jaccard-names")
+    named = spread_join(linked, names, ["component"], "size", inner=True).select("node", "class_id")
     full = classes.select("node", "first", "n_copies").join(named, "node", "left").join(links, "node", "left")
     alone = F.col("n_shingles") == 0
     return spread_join(rows.select("doc_id", "n_shingles", "node"), stored(full, "jaccard-full"), ["node"], "n_copies").select(

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .jaccard_join import _groups
-from .session import small_batches, stored
+from .session import dropped, small_batches, stored
 
 #: Nodes compared with each other at first, and projections.
 LEAF, TREES = 256, 4
-#: Nodes, and queries, that a part has at most, and the least number of parts.
-NODES, QUERIES, PARTS = 16384, 512, 8
+#: Bytes of vectors that a part's nodes may want, queries that a part has at most, and the least number of parts.
+PART_BYTES, QUERIES, PARTS = 128 << 20, 512, 8
+#: Rounds go on until fewer than this share of the lists' entries are new.
+SETTLED = 0.02
 #: Longest nodes at which queries start too.
 LONGEST = 64
 GRAPH = "id long, ids array<long>, scores array<float>"
@@ -220,10 +222,18 @@ def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, re
 
 
 def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse: int = 60, rounds: int | None = None) -> DataFrame:
-    """The best ``neighbours`` found of every node."""
+    """The best ``neighbours`` found of every node: rounds go on until lists hardly change (at most ``rounds``, if given)."""
+    spark = codes.sparkSession
+    width = codes.select(F.max(F.octet_length("code"))).first()[0] or 0
+    parts = max(PARTS, -(-count * (neighbours + reverse) * (width + 16) // PART_BYTES))  # a node wants its neighbours' vectors once
     graph = stored(merged(first_lists(codes, neighbours), neighbours), "nn-graph")
-    for _ in range(rounds if rounds is not None else max(4, math.ceil(math.log2(max(count, 2)) / 4))):
-        graph = stored(improved(graph, codes, max(PARTS, -(-count // NODES)), neighbours, reverse), "nn-graph")
+    while rounds is None or rounds > 0:
+        before, graph = graph, stored(improved(graph, codes, parts, neighbours, reverse), "nn-graph")
+        news = graph.join(before.select("id", F.col("ids").alias("old")), "id").agg(F.sum(F.size(F.array_except("ids", "old"))).alias("n"), F.sum(F.size("ids")).alias("all")).first()
+        dropped(spark, before)
+        if (news["n"] or 0) < SETTLED * (news["all"] or 1):
+            break
+        rounds = None if rounds is None else rounds - 1
     return graph
 
 

@@ -2,10 +2,12 @@
 
 A message's lines have a quote level: the number of ``>`` before their text.  Lines of one level without a blank line
 between them are a passage.  Quoted passages, normalised and hashed, are joined to the message of the same
-conversation that first says them in its own words: as its whole text, as a passage or as a line.  The latest message
+conversation that first says them in its own words: as its whole text, as a passage, or as consecutive lines of its own.  The latest message
 so linked at the first level (else at any level) is what a message replies to.  Threads come from pointer doubling,
 a join for each doubling of the depth; (root_turn, turn) is reply order, since a reply's turn is larger.
 
+Runs of lines are hashed for the numbers of lines that quotes have (a set of small numbers, no larger than the longest quote), so
+quotes and originals meet by equal hashes and no pairs of lines are made.  Messages are parsed once, and stored as hashes.
 The originals are reduced to one row for each conversation and passage before they are joined, so that a line that
 all messages share is one row.  No window or list holds a whole conversation.
 """
@@ -47,25 +49,41 @@ def parsed(messages: DataFrame) -> DataFrame:
     passages = F.transform(
         F.sequence(F.lit(0), F.size("heads") - 1),
         lambda k: F.struct(
-            F.get("lines", F.get("heads", k))["level"].alias("level"),
-            F.array_join(F.transform(F.slice("lines", F.get("heads", k) + 1, F.coalesce(F.get("heads", k + 1), n) - F.get("heads", k)), lambda x: x["norm"]), " ").alias("norm"),
+            F.get("lines", F.get("heads", k))["level"].alias("level"), (F.coalesce(F.get("heads", k + 1), n) - F.get("heads", k)).alias("n"),
+            F.transform(F.slice("lines", F.get("heads", k) + 1, F.coalesce(F.get("heads", k + 1), n) - F.get("heads", k)), lambda x: x["norm"]).alias("norms"),
         ),
     )
+    rows = rows.select(
+        "conv_id", "turn", "role", F.when(F.col("quoted"), body).otherwise(F.col("text")).alias("body"), F.filter(passages, lambda p: p["level"] >= 0).alias("passages"),
+        F.filter(F.transform("own", lambda x: x["norm"]), lambda x: x != "").alias("own"),
+    )
+    whole = lambda norms: F.xxhash64(F.array_join(norms, " "))
+    quotes = F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), p["n"].alias("n"), whole(p["norms"]).alias("whole"), F.xxhash64(F.transform(p["norms"], lambda x: F.xxhash64(x))).alias("lines")))
+    said = F.concat(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: whole(p["norms"])), F.array(whole(F.col("own"))))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
     return rows.select(
-        "conv_id", "turn", "role", F.when(F.col("quoted"), body).otherwise(F.col("text")).alias("body"),
-        F.coalesce(F.filter(passages, lambda p: p["level"] >= 0), F.array().cast("array<struct<level:int,norm:string>>")).alias("passages"),
-        F.coalesce(F.filter(F.transform("own", lambda x: x["norm"]), lambda x: x != ""), F.array().cast("array<string>")).alias("own"),
+        "conv_id", "turn", "role", "body", F.coalesce(quotes, none("struct<level:int,n:int,whole:long,lines:long>")).alias("quotes"),
+        F.coalesce(F.array_distinct(said), none("long")).alias("said"), F.coalesce(F.transform("own", lambda x: F.xxhash64(x)), none("long")).alias("own"),
     )
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, quotes of each message that quotes: a row for each quoted passage that has an original."""
-    quotes = rows.select("conv_id", "turn", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.norm").alias("passage")).distinct()
-    wanted = quotes.select("conv_id", "passage").distinct()
-    said = F.array_distinct(F.concat(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: F.xxhash64(p["norm"])), F.transform("own", lambda x: F.xxhash64(x)), F.array(F.xxhash64(F.array_join("own", " ")))))
-    originals = rows.select("conv_id", "turn", F.explode(said).alias("passage")).groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
-    found = originals.join(wanted, ["conv_id", "passage"], "left_semi")
-    return quotes.join(found, ["conv_id", "passage"]).where("original < turn").select("conv_id", "turn", "level", "original")
+    """conv_id, turn, level and original: a row for each different quoted passage of a message that has an original."""
+    quotes = rows.select("conv_id", "turn", F.inline("quotes")).distinct()
+    sizes = sorted(r["n"] for r in quotes.select("n").distinct().collect())
+    none = F.array()
+
+    def runs_of(n: int) -> Column:
+        at = F.when(F.size("own") >= n, F.sequence(F.lit(1), F.size("own") - (n - 1))).otherwise(none.cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.slice("own", i, n)))
+
+    runs = F.flatten(F.array(*map(runs_of, sizes))) if sizes else none.cast("array<long>")
+    kinds = (("whole", F.col("said")), ("lines", F.array_distinct(runs)))
+    for name, said in kinds:
+        own = rows.select("conv_id", "turn", F.explode(said).alias(name)).groupBy("conv_id", name).agg(F.min("turn").alias(f"first_{name}"))
+        quotes = quotes.join(own.join(quotes.select("conv_id", name).distinct(), ["conv_id", name], "left_semi"), ["conv_id", name], "left")
+    first = F.least(*(F.when(F.col(f"first_{name}") < F.col("turn"), F.col(f"first_{name}")) for name, _ in kinds))
+    return quotes.select("conv_id", "turn", "level", first.alias("original")).where("original is not null")
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -86,21 +104,31 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     A null text has a null body and no quotes.  Rows with a null conv_id or turn are linked to nothing.  Rows that
     share conv_id and turn are one message of a thread, which replies to the latest that any of them quotes.
-    Repeated rows give repeated results.  Other columns aren't read.
+    Repeated rows give repeated results.  Texts of any length are read whole.  Other columns aren't read.
     """
-    rows = parsed(messages)
+    rows = stored(parsed(messages), "quote-messages")
     found = stored(links(rows), "quote-links")
     first = F.max(F.when(F.col("level") == 1, F.col("original")))
     parents = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.coalesce(first, F.max("original")).alias("parent_turn"))
     parents = stored(parents, "quote-parents")
     known = parents.join(threads(parents), ["conv_id", "turn"])
-    n_quotes = F.size(F.filter("passages", lambda p: p["level"] > 0)).cast("long")
-    return rows.withColumn("n_quotes", n_quotes).join(known, ["conv_id", "turn"], "left").select(
+    return rows.withColumn("n_quotes", F.size("quotes").cast("long")).join(known, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "body", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("body", F.lit(""))).alias("formatted"),
     )
 
 
+def assembled(found: DataFrame, turns: int = 1000) -> DataFrame:
+    """conv_id, root_turn, part and text: the messages of each thread of :func:`conversations` in reply order, without quotes.
+
+    A reply's turn is larger than that of the message it replies to, so turns are reply order.  A part holds the messages of
+    ``turns`` turns, so that no row holds a conversation of any length.  Messages without a turn stand last, those without a body are empty.
+    """
+    part = F.floor(F.col("turn") / turns).alias("part")
+    lines = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "formatted")))
+    return found.groupBy("conv_id", "root_turn", part).agg(F.array_join(F.transform(lines, lambda m: m["formatted"]), "\n").alias("text"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE raws AS (
   SELECT row_number() OVER () AS m, conv_id, turn, role, text FROM conversations
@@ -114,7 +142,7 @@ WITH RECURSIVE raws AS (
 ), numbered AS (
   SELECT *, sum(turned) OVER (PARTITION BY m ORDER BY i) AS block FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY i) THEN 1 ELSE 0 END AS turned FROM marked)
 ), passages AS (
-  SELECT m, level, string_agg(norm, ' ' ORDER BY i) AS norm FROM numbered WHERE level >= 0 GROUP BY m, block, level
+  SELECT m, level, string_agg(norm, ' ' ORDER BY i) AS norm, list(norm ORDER BY i) AS norms FROM numbered WHERE level >= 0 GROUP BY m, block, level
 ), own AS (
   SELECT m, i, raw, norm FROM marked WHERE depth = 0 AND NOT (regexp_matches(raw, '^On .+ wrote:\s*$') AND above)
 ), bodies AS (
@@ -124,11 +152,19 @@ WITH RECURSIVE raws AS (
 ), hasquote AS (
   SELECT m, bool_or(depth > 0) AS q FROM leveled GROUP BY m
 ), said AS (
-  SELECT m, norm FROM passages WHERE level = 0 UNION SELECT m, norm FROM own WHERE norm <> '' UNION SELECT m, coalesce(whole, '') FROM bodies
+  SELECT m, norm FROM passages WHERE level = 0 UNION SELECT m, coalesce(whole, '') FROM bodies
 ), originals AS (
   SELECT conv_id, norm, min(turn) AS original FROM said JOIN raws USING (m) WHERE conv_id IS NOT NULL GROUP BY conv_id, norm
+), owned AS (
+  SELECT m, list(norm ORDER BY i) FILTER (norm <> '') AS ls FROM own GROUP BY m
+), starts AS (
+  SELECT m, ls, n, unnest(range(1, len(ls) - n + 2)) AS i FROM owned, (SELECT DISTINCT len(norms) AS n FROM passages WHERE level > 0) WHERE len(ls) >= n
+), runs AS (
+  SELECT conv_id, ls[i : i + n - 1] AS norms, min(turn) AS run FROM starts JOIN raws USING (m) WHERE conv_id IS NOT NULL GROUP BY ALL
 ), links AS (
-  SELECT DISTINCT conv_id, turn, level, norm, original FROM passages JOIN raws USING (m) JOIN originals USING (conv_id, norm) WHERE level > 0 AND original < turn
+  SELECT conv_id, turn, level, norm, norms, least(CASE WHEN original < turn THEN original END, CASE WHEN run < turn THEN run END) AS original
+  FROM (SELECT DISTINCT conv_id, turn, level, norm, norms FROM passages JOIN raws USING (m) WHERE level > 0) LEFT JOIN originals USING (conv_id, norm) LEFT JOIN runs USING (conv_id, norms)
+  WHERE least(CASE WHEN original < turn THEN original END, CASE WHEN run < turn THEN run END) IS NOT NULL
 ), parents AS (
   SELECT conv_id, turn, count(*) AS n_linked, coalesce(max(original) FILTER (level = 1), max(original)) AS parent_turn FROM links GROUP BY conv_id, turn
 ), walk AS (
