@@ -33,10 +33,25 @@ def operation_json() -> Column:
     return F.to_json(F.struct("position", F.lower("op").alias("type"), F.col("k").alias("key"), F.when(F.col("op") == "PUT", F.col("v")).alias("value")))
 
 
-def digest(rows: DataFrame, key: str, value: str, buckets: int = 64, low: int = 0, width: int = 4096) -> DataFrame:
-    """One digest of all pairs in key order: md5 of the md5s of stretches of keys, so that no task holds all pairs."""
-    stretch = F.floor((F.col(key) - low) / width)
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("a"), F.col(value).alias("b"))))
-    parts = rows.groupBy(stretch.alias("s")).agg(F.md5(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["a"].cast("string"), p["b"].cast("string"))), ",").cast("binary")).alias("d"))
-    ordered = F.array_sort(F.collect_list(F.struct("s", "d")))
-    return parts.agg(F.md5(F.array_join(F.transform(ordered, lambda p: p["d"]), ",").cast("binary")).alias("md5"))
+def digest(rows: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
+    """One digest of all pairs in key order: md5 of stretches of ``width`` pairs, then of stretches of those, so that no task
+    holds all pairs.  A range of keys is digested by filtering ``rows``."""
+    from ..operators.ordered import by_levels
+
+    pairs = rows.select(key, F.concat_ws(":", F.col(key).cast("string"), F.col(value).cast("string")).alias("md5"))
+    return by_levels(pairs, key, "md5", lambda parts: F.md5(F.array_join(parts, ",").cast("binary")), width)
+
+
+def key_text(key: Column, prefix: str) -> Column:
+    """A key as text under a prefix, as a shared cache holds it."""
+    return F.concat(F.lit(prefix), key.cast("string"))
+
+
+def text_key(text: Column, prefix: str, kind: str = "long") -> Column:
+    """The key of such a text; null where the prefix or the key isn't one."""
+    return F.when(text.startswith(prefix), F.substring(text, F.lit(len(prefix) + 1), F.length(text)).try_cast(kind))
+
+
+def epoch_text(millis: Column) -> Column:
+    """Epoch milliseconds as text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_millis(millis), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")

@@ -24,12 +24,24 @@ def prime_plan(keys: DataFrame, cache: DataFrame, store: DataFrame) -> DataFrame
     return keys.select("k").distinct().join(cache.select("k"), "k", "left_anti").join(store.select("k", "v"), "k")
 
 
+def primed(keys: DataFrame, cache, store: DataFrame) -> DataFrame:
+    """Prime a cache (a Store): write what it lacks and the store has, and give the counts requested, skipped (in the cache
+    before), primed and missing (nowhere)."""
+    from ..sources.tables import stored
+
+    answers = stored(read_through(keys, cache.view(), store), "prime")
+    cache.commit(answers.where("source = 'store'").select(F.lit(0).cast("long").alias("position"), "k", F.lit("PUT").alias("op"), "v"))
+    source = F.col("source")
+    return answers.agg(F.count("*").alias("requested"), F.count_if(source == "cache").alias("skipped"), F.count_if(source == "store").alias("primed"), F.count_if(source == "miss").alias("missing"))
+
+
 def stats(answers: DataFrame) -> DataFrame:
     """Counts of requests and of each source."""
     source = F.col("source")
     return answers.agg(F.count("*").alias("requested"), F.count_if(source == "cache").alias("cache_hits"), F.count_if(source == "store").alias("store_hits"), F.count_if(source == "miss").alias("misses"))
 
 
-def alive(rows: DataFrame, ts: str, hours: int, now: Column) -> DataFrame:
-    """Entries whose time to live isn't over."""
-    return rows.where(F.col(ts) + F.expr(f"interval {hours} hours") > now)
+def alive(rows: DataFrame, ts: str, hours: int, now: Column, for_good: Column | None = None) -> DataFrame:
+    """Entries whose time to live isn't over.  Those that were set (``for_good``), and not merely added, have no end."""
+    fresh = F.col(ts) + F.expr(f"interval {hours} hours") > now
+    return rows.where(fresh if for_good is None else for_good | fresh)

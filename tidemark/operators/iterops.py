@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import lagged, numbered, running_sum
+from .ordered import RANGE, by_levels, lagged, numbered, ranged, running_sum
 
 
 def span(rows: DataFrame, key: str, holds: Column) -> tuple[DataFrame, DataFrame]:
@@ -17,7 +17,7 @@ def span(rows: DataFrame, key: str, holds: Column) -> tuple[DataFrame, DataFrame
 
 def adjacent_groups(rows: DataFrame, key: str, column: str) -> DataFrame:
     """Runs of neighbours in key order that have one value: run, the value, its first and last key and its length."""
-    turned = lagged(rows.select(key, column, F.lit(1).alias("_one")), key, column, "_last")
+    turned = lagged(ranged(rows.select(key, column), key), key, column, "_last")
     flagged = turned.withColumn("_turn", F.when(F.col("_last").eqNullSafe(F.col(column)), 0).otherwise(1))
     runs = running_sum(flagged, key, F.col("_turn"), "run")
     return runs.groupBy("run").agg(F.first(column).alias(column), F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))
@@ -54,18 +54,23 @@ def merge(*parts: DataFrame, key: str = "k") -> DataFrame:
     return out.orderBy(key)
 
 
+def process(rows: DataFrame, key: str, value: Column, limit: Column) -> DataFrame:
+    """Process rows in key order until the sum of ``value`` reaches ``limit``: the rows that were processed, with the sum so
+    far (``total``).  The row that reaches it is the last; all rows, if none does."""
+    summed = running_sum(ranged(rows, key), key, value, "total").drop(RANGE)
+    last = F.broadcast(summed.where(F.col("total") >= limit).agg(F.min(key).alias("_last")))
+    return summed.crossJoin(last).where(F.col("_last").isNull() | (F.col(key) <= F.col("_last"))).drop("_last")
+
+
 def affine_fold(rows: DataFrame, key: str, value: str, factor: int, modulus: int) -> DataFrame:
     """The fold acc -> (acc * factor + value) mod modulus in key order, from 0, as one row.
 
-    Steps of this form combine associatively, so ranges of the key are folded apart, and their results in order.
+    Steps of this form combine associatively, so stretches of the order are folded apart, and their results in order.
     """
-    from .ordered import RANGE, ranged
+    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
-    def fold(pairs: Column) -> Column:
-        start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-        return F.aggregate(pairs, start, lambda s, p: F.struct((s["a"] * p["a"] % modulus).alias("a"), ((s["b"] * p["a"] + p["b"]) % modulus).alias("b")))
+    def fold(steps: Column) -> Column:
+        return F.aggregate(steps, start, lambda s, p: F.struct((s["a"] * p["a"] % modulus).alias("a"), ((s["b"] * p["a"] + p["b"]) % modulus).alias("b")))
 
-    step = F.struct(F.col(key).alias("o"), F.lit(factor).cast("long").alias("a"), (F.col(value).cast("long") % modulus).alias("b"))
-    inside = ranged(rows, key).groupBy(RANGE).agg(fold(F.array_sort(F.collect_list(step))).alias("s"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(RANGE).alias("o"), F.col("s.a").alias("a"), F.col("s.b").alias("b"))))
-    return inside.agg(fold(ordered)["b"].alias("fold"))
+    steps = rows.select(key, F.struct(F.lit(factor).cast("long").alias("a"), (F.col(value).cast("long") % modulus).alias("b")).alias("step"))
+    return by_levels(steps, key, "step", fold).select(F.col("step.b").alias("fold"))

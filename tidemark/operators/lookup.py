@@ -58,14 +58,23 @@ def first_last(live: DataFrame) -> DataFrame:
 
 
 def streamed(index: DataFrame, log: DataFrame, requested: DataFrame) -> DataFrame:
-    """Batch lookup with an error column instead of exceptions: k, v and error (null, 'missing', 'wrong key')."""
-    asked = requested.select("k").distinct().join(index.select("k", "address"), "k", "left")
+    """Batch lookup with an error column instead of exceptions: k, v and error (null, 'missing', 'wrong key').
+
+    Addresses are dealt to ranges and sorted before the log is asked, so that a task reads neighbouring records.
+    """
+    asked = requested.select("k").distinct().join(index.select("k", "address"), "k", "left").repartitionByRange("address").sortWithinPartitions("address")
     found = asked.join(log.select("address", F.col("k").alias("log_k"), "v"), "address", "left")
     wrong = F.col("log_k").isNotNull() & (F.col("log_k") != F.col("k"))
     error = F.when(F.col("log_k").isNull(), "missing").when(wrong, "wrong key")
     return found.select("k", F.when(error.isNull(), F.col("v")).alias("v"), error.alias("error"))
 
 
+def skipping(answers: DataFrame) -> DataFrame:
+    """Of :func:`streamed`: how many keys were asked for, found and skipped, by reason."""
+    error = F.col("error")
+    return answers.agg(F.count("*").alias("asked"), F.count_if(error.isNull()).alias("found"), F.count_if(error == "missing").alias("missing"), F.count_if(error == "wrong key").alias("wrong_key"))
+
+
 def top_of_each(rows: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")

@@ -181,6 +181,17 @@ def merge_keep_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return iterops.merge(rows.where("gen = 0"), rows.where("gen = 1"))
 
 
+@query("SELECT k, v FROM live ORDER BY k")
+def ordered_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return ranges.scan(_live(spark, sf))
+
+
+@query("SELECT k, v FROM live WHERE k <= 90000 ORDER BY reverse(k::VARCHAR), k")
+def scan_in_own_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan in an order that the caller gives: by the digits of the key from the last to the first."""
+    return ranges.scan(ranges.head(_live(spark, sf), 90000, True), order=F.struct(F.reverse(F.col("k").cast("string")), "k"))
+
+
 # Sequences
 
 
@@ -225,6 +236,15 @@ def fold_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return iterops.affine_fold(_live(spark, sf), "k", "v", 31, 1000003)
 
 
+@query(""", summed AS (SELECT k, v, sum(v) OVER (ORDER BY k) AS total FROM live), half AS (SELECT sum(v) // 2 AS h FROM live)
+SELECT k, v, total::BIGINT AS total FROM summed, half WHERE k <= (SELECT min(k) FROM summed, half WHERE total >= h)""")
+def process_until_half(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries in key order until their values reach half of the sum of all: a fold that stops early."""
+    live = _live(spark, sf)
+    half = live.agg(F.floor(F.sum("v") / 2)).first()[0] or 0
+    return iterops.process(live, "k", F.col("v"), F.lit(half))
+
+
 # Addresses and logs
 
 
@@ -240,26 +260,40 @@ def segment_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _log(spark, sf).groupBy("segment").agg(F.count("*").alias("n"), F.min("address").alias("low"), F.max("address").alias("high"))
 
 
-@query("SELECT count(*) AS n, min(position) AS first FROM log WHERE segment >= 6")
+@query("SELECT count(*) AS n, min(position) AS first FROM log WHERE segment >= (SELECT max(segment) // 2 FROM log)")
 def gc_survivors(spark: SparkSession, sf: str) -> DataFrame:
-    return _log(spark, sf).where(F.col("segment") >= 6).agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    """Segments before the log's middle are deleted from its folder, and what is left is read."""
+    folder, ops = scratch(spark, "log"), oplog.from_events(spark, sf)
+    ingest.write_segments(ops, folder, 1000)
+    last = ops.agg(F.max("position")).first()[0] or 0
+    ingest.collected(spark, folder, last // 1000 // 2)
+    return spark.read.parquet(folder).agg(F.count("*").alias("n"), F.min("position").alias("first"))
 
 
-@query("SELECT position, k FROM log WHERE segment < 4")
+@query("SELECT position, k FROM log WHERE segment < (SELECT max(segment) // 2 FROM log)")
 def gap_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return oplog.before_gap(_log(spark, sf).where("segment <> 4")).select("position", "k")
+    """The log's middle segment is gone; reading ends there."""
+    log = _log(spark, sf)
+    middle = F.broadcast(log.agg(F.floor(F.max("segment") / 2).alias("middle")))
+    return oplog.before_gap(log.crossJoin(middle).where("segment <> middle").drop("middle")).select("position", "k")
 
 
-@query("SELECT position, k FROM log WHERE position < 996")
+@query("SELECT position, k FROM log WHERE position < (SELECT min(position) FROM log WHERE position >= (SELECT max(position) * 9 // 10 FROM log))")
 def corrupt_cutoff(spark: SparkSession, sf: str) -> DataFrame:
-    return oplog.before_first(_log(spark, sf), F.col("position") % 997 == 996).select("position", "k")
+    """A record at nine tenths of the log doesn't have the checksum that was kept; reading ends before it."""
+    log = _log(spark, sf).withColumn("payload", F.concat_ws(":", F.col("k").cast("string"), F.col("v").cast("string")))
+    at = F.broadcast(log.agg(F.floor(F.max("position") * 9 / 10).alias("at")))
+    kept = log.crossJoin(at).withColumn("crc", codecs.record_crc(F.concat("payload", F.when(F.col("position") >= F.col("at"), "!").otherwise(""))))
+    return oplog.before_first(kept, F.col("crc") != codecs.record_crc(F.col("payload"))).select("position", "k")
 
 
-@query("SELECT position, k FROM log WHERE segment = 3 AND address >= (SELECT min(address) FROM log WHERE position = 3500) ORDER BY address")
+@query("SELECT position, k FROM log WHERE address >= (SELECT min(address) FROM log WHERE position >= (SELECT max(position) // 2 FROM log))")
 def read_from_address(spark: SparkSession, sf: str) -> DataFrame:
+    """From the address of the middle position on, through all segments."""
     log = _log(spark, sf)
-    start = addresses.packed(F.lit(3), F.lit(500 // 16 * 64), F.lit(500 % 16))
-    return log.where((F.col("segment") == 3) & (F.col("address") >= start)).select("position", "k").orderBy("position")
+    middle = log.agg(F.floor(F.max("position") / 2)).first()[0] or 0
+    start = log.where(F.col("position") >= middle).agg(F.min("address")).first()[0]
+    return log.where(F.col("address") >= F.lit(start)).select("position", "k").orderBy("address")
 
 
 @query("SELECT l.k, s.address, l.v FROM (SELECT k, address FROM live JOIN log USING (k, position)) s JOIN log l USING (address) WHERE l.k = s.k")
@@ -306,27 +340,58 @@ def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
     return cache.stats(cache.read_through(_requested(spark, sf), _cached(spark, sf), _live(spark, sf)))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-30' GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' OR ts + INTERVAL 6 HOUR > TIMESTAMP '2024-01-30' GROUP BY user_id")
 def ttl_live(spark: SparkSession, sf: str) -> DataFrame:
-    return cache.alive(table(spark, sf, "events"), "ts", 6, F.lit("2024-01-30").cast("timestamp_ntz")).groupBy("user_id").agg(F.count("*").alias("n"))
+    """Purchases are set, which has no end; all else is added, and ends after six hours."""
+    rows = cache.alive(table(spark, sf, "events"), "ts", 6, F.lit("2024-01-30").cast("timestamp_ntz"), F.col("event_type") == "purchase")
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS requested, count(c.k) AS skipped, count(l.k) - count(c.k) AS primed, count(*) - count(l.k) AS missing FROM req r LEFT JOIN cached c USING (k) LEFT JOIN live l USING (k)")
+def prime_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _primed(spark, sf)[1]
+
+
+@query("SELECT k, v FROM cached UNION SELECT k, v FROM req JOIN live USING (k)")
+def primed_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache on disk after it was primed with the requested keys."""
+    return _primed(spark, sf)[0].view()
+
+
+def _primed(spark: SparkSession, sf: str) -> tuple[Store, DataFrame]:
+    with _store(spark, "cache") as store:
+        store.commit(_cached(spark, sf).select(F.lit(0).cast("long").alias("position"), "k", F.lit("PUT").alias("op"), "v"))
+        return store, cache.primed(_requested(spark, sf), store, _live(spark, sf))
+
+
+@query("SELECT count(*) AS asked, count(l.k) AS found, count(*) - count(l.k) AS missing, 0::BIGINT AS wrong_key FROM req LEFT JOIN live l USING (k)")
+def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.skipping(streamed_lookup(spark, sf))
 
 
 # Checkpoints
 
 
-@query(""", cps AS (SELECT unnest([2000, 5000, 9000]) AS checkpoint), st AS (SELECT checkpoint, k, op, v, row_number() OVER (PARTITION BY checkpoint, k ORDER BY position DESC) AS rn FROM cps JOIN ops ON position < checkpoint)
-SELECT checkpoint::BIGINT AS checkpoint, count(*) FILTER (op = 'PUT') AS live, count(*) FILTER (op = 'DELETE') AS deleted FROM st WHERE rn = 1 GROUP BY checkpoint""")
+@query(""", cps AS (SELECT share, (SELECT max(position) + 1 FROM ops) * share // 10 AS checkpoint FROM (SELECT unnest([2, 5, 9]) AS share)), st AS (SELECT share, k, op, v, row_number() OVER (PARTITION BY share, k ORDER BY position DESC) AS rn FROM cps JOIN ops ON position < checkpoint)
+SELECT share::BIGINT AS share, count(*) FILTER (op = 'PUT') AS live, count(*) FILTER (op = 'DELETE') AS deleted FROM st WHERE rn = 1 GROUP BY share""")
 def checkpoint_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = oplog.checkpointed(oplog.from_events(spark, sf), [2000, 5000, 9000])
+    """The state at two, five and nine tenths of the log."""
+    ops = oplog.from_events(spark, sf)
+    size = (ops.agg(F.max("position")).first()[0] or 0) + 1
+    rows = oplog.checkpointed(ops, [size * share // 10 for share in (2, 5, 9)])
     state = merge.newest(rows, ["checkpoint", "k"], F.desc("position"))
-    return state.groupBy("checkpoint").agg(F.count_if(F.col("op") == "PUT").alias("live"), F.count_if(F.col("op") == "DELETE").alias("deleted"))
+    share = F.element_at(F.create_map(*(F.lit(x).cast("long") for share in (9, 5, 2) for x in (size * share // 10, share))), F.col("checkpoint"))
+    return state.groupBy(share.alias("share")).agg(F.count_if(F.col("op") == "PUT").alias("live"), F.count_if(F.col("op") == "DELETE").alias("deleted"))
 
 
-@query(""", a AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY position DESC) AS rn FROM ops WHERE position < 9000) WHERE rn = 1 AND op = 'PUT'),
-b AS (SELECT k, v FROM live) SELECT k, v FROM a EXCEPT SELECT k, v FROM b""")
+@query(""", a AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY position DESC) AS rn FROM ops WHERE position < (SELECT (max(position) + 1) * 9 // 10 FROM ops)) WHERE rn = 1 AND op = 'PUT')
+SELECT k, a.v AS before, b.v AS after FROM a FULL JOIN (SELECT k, v FROM live) b USING (k) WHERE a.v IS DISTINCT FROM b.v""")
 def checkpoint_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys whose value at nine tenths of the log differs from the one now, in either direction."""
     ops = oplog.from_events(spark, sf)
-    return merge.latest(ops.where("position < 9000")).select("k", "v").exceptAll(_live(spark, sf))
+    cut = ((ops.agg(F.max("position")).first()[0] or 0) + 1) * 9 // 10
+    before = merge.latest(ops.where(F.col("position") < cut)).select("k", F.col("v").alias("before"))
+    return before.join(_live(spark, sf).select("k", F.col("v").alias("after")), "k", "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 @query("SELECT date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
@@ -357,6 +422,27 @@ def delta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return coded.select("user_id", F.array_join(F.transform(codecs.delta_decoded(F.col("d")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("SELECT k, 'u:' || k AS text, k AS parsed FROM live")
+def key_texts(spark: SparkSession, sf: str) -> DataFrame:
+    text = codecs.key_text(F.col("k"), "u:")
+    return _live(spark, sf).select("k", text.alias("text"), codecs.text_key(text, "u:").alias("parsed"))
+
+
+@query("SELECT position, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text FROM ops")
+def epoch_texts(spark: SparkSession, sf: str) -> DataFrame:
+    millis = F.unix_millis(F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+    return oplog.from_events(spark, sf).select("position", codecs.epoch_text(millis).alias("text"))
+
+
+@query("SELECT date_trunc('day', ts)::DATE AS day, count(*) AS n FROM ops GROUP BY 1")
+def segments_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """A log rolled by time: as many segments as days with operations, read back in order."""
+    folder, ops = scratch(spark, "log"), oplog.from_events(spark, sf)
+    ingest.roll_by_time(ops, folder)
+    log = oplog.before_gap(spark.read.parquet(folder))
+    return log.join(ops.select("position", "ts"), "position").groupBy("segment").agg(F.min("ts").cast("date").alias("day"), F.count("*").alias("n")).select("day", "n")
+
+
 @query("""SELECT '{"key":' || k || ',"value":' || v || '}' AS line FROM live""")
 def store_cat_json(spark: SparkSession, sf: str) -> DataFrame:
     return _live(spark, sf).select(codecs.entry_json(F.col("k"), F.col("v")).alias("line"))
@@ -367,7 +453,7 @@ def oplog_cat_json(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.from_events(spark, sf).select(codecs.operation_json().alias("line"))
 
 
-@query("SELECT md5(string_agg(d, ',' ORDER BY s)) AS md5 FROM (SELECT k // 4096 AS s, md5(string_agg(k || ':' || v, ',' ORDER BY k)) AS d FROM live GROUP BY s)")
+@query("""SELECT md5(string_agg(d, ',' ORDER BY s)) AS md5 FROM (SELECT n // 4096 AS s, md5(string_agg(k || ':' || v, ',' ORDER BY k)) AS d FROM (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS n FROM live) GROUP BY s)""")
 def store_md5(spark: SparkSession, sf: str) -> DataFrame:
     return codecs.digest(_live(spark, sf), "k", "v")
 

@@ -30,14 +30,20 @@ class Files:
         return True
 
     def publish(self, name: str, text: str) -> bool:
-        """Make a file appear whole under a new name; false if the name is taken."""
+        """Make a file appear under a new name; false if the name is taken.
+
+        The name is taken first, by an exclusive create of a mark beside it, so of two writers one alone goes on to rename.
+        """
         parts = name.rsplit("/", 1)
-        held = "/".join([*parts[:-1], f".{parts[-1]}.{self.jvm.java.util.UUID.randomUUID().toString()}"])
-        self.create(held, text)
-        if self.exists(name) or not self.fs.rename(self.path(held), self.path(name)):
-            self.fs.delete(self.path(held), False)
+        mark, held = ("/".join([*parts[:-1], f".{parts[-1]}.{x}"]) for x in ("taken", self.jvm.java.util.UUID.randomUUID().toString()))
+        if self.exists(name) or not self.create(mark, ""):
             return False
-        return True
+        self.create(held, text)
+        if self.fs.rename(self.path(held), self.path(name)):
+            return True
+        self.fs.delete(self.path(held), False)
+        self.fs.delete(self.path(mark), False)
+        return False
 
     def read(self, name: str) -> str:
         source = self.fs.open(self.path(name))

@@ -13,7 +13,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..operators import lookup, merge, ranges
 from .files import Files
@@ -102,10 +102,11 @@ class Store:
     def _write(self, rows: DataFrame, volatile: bool) -> Run | None:
         """One generation: range-partitioned and sorted by key, so that row groups have narrow key ranges."""
         folder = f"data/{uuid.uuid4().hex}"
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        placed = rows.select("k", "v", "is_deleted", "position").repartitionByRange(n, "k").sortWithinPartitions("k")
+        seen = Observation()
+        placed = rows.select("k", "v", "is_deleted", "position").repartitionByRange("k").sortWithinPartitions("k")  # small parts are joined at run time
+        placed = placed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("is_deleted").alias("dead"), F.min("k").alias("low"), F.max("k").alias("high"))
         placed.write.option("parquet.bloom.filter.enabled#k", str(self.bloom).lower()).parquet(f"{self.root}/{folder}")
-        seen = self.spark.read.schema(self._fields()).parquet(f"{self.root}/{folder}").agg(F.count("*").alias("n"), F.count_if("is_deleted").alias("dead"), F.min("k").alias("low"), F.max("k").alias("high")).first()
+        seen = seen.get
         if not seen["n"]:
             self.files.delete(folder)
             return None

@@ -23,6 +23,20 @@ def write_segments(ops: DataFrame, folder: str, per_segment: int = 1000) -> None
     rows.withColumn("segment", segment).repartition("segment").sortWithinPartitions("segment", "position").write.partitionBy("segment").parquet(folder)
 
 
+def roll_by_time(ops: DataFrame, folder: str, ts: str = "ts", every: str = "1 day") -> int:
+    """A log folder with a segment for each span of time that has operations, numbered in order; returns how many.
+
+    Spans are numbered by their rank among those that there are, so that a reader finds no hole.
+    """
+    from ..operators.ordered import numbered
+
+    span = F.window(F.col(ts).cast("timestamp"), every)["start"]
+    spans = numbered(ops.select(span.alias("span")).distinct(), "span", "segment")
+    rows = ops.withColumn("span", span).join(F.broadcast(spans), "span").select("position", "k", "op", "v", (F.col("segment") - 1).alias("segment"))
+    rows.repartition("segment").sortWithinPartitions("segment", "position").write.partitionBy("segment").parquet(folder)
+    return spans.count()
+
+
 def tail(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """The log as a stream of rows."""
     return spark.readStream.schema(f"{LOG}, segment long").option("maxFilesPerTrigger", files_per_batch).parquet(folder)
