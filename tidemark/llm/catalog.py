@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontamination, jaccard_join, language_id, nn_descent, packing, quotation_links, substring_dedup, token_counts, wavelet
+from . import attention_lm, decontamination, jaccard_join, language_id, nn_descent, oracles, packing, quotation_links, substring_dedup, token_counts, wavelet
 from .session import table
 
 
@@ -51,4 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_benchmark_decontamination, op4_wavelet_token_ids, op5_attention_lm_scoring, op6_nn_descent, op7_cost_balanced_packing, op8_ngram_jaccard_join, op9_quotation_links, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op9_quotation_links": quotation_links.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_benchmark_decontamination": oracles.DECONTAMINATION, "op8_ngram_jaccard_join": oracles.JACCARD_JOIN,
+    "op9_quotation_links": quotation_links.ORACLE_SQL,
+}
