@@ -31,7 +31,7 @@ LEAF, TREES = 256, 4
 #: Bytes of vectors that a part's nodes may want, queries that a part has at most, and the least number of parts.
 PART_BYTES, QUERIES, PARTS = 128 << 20, 512, 8
 #: Rounds go on until fewer than this share of the lists' entries are new.
-SETTLED = 0.02
+SETTLED = 0.05
 #: Longest nodes at which queries start too.
 LONGEST = 64
 GRAPH = "id long, ids array<long>, scores array<float>"
