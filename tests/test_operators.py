@@ -124,6 +124,25 @@ def test_codecs(spark):
     assert [r["d"] for r in rows] == [[5, -2, 0, 97], [], [-7]] and all(r["x"] == r["y"] for r in rows)
 
 
+def test_sequences_of_groups(spark):
+    rng = random.Random(8)
+    values = sorted({(rng.choice([1, 1, 1, 2, 5]), rng.randrange(500)) for _ in range(200)}) + [(9, 7)]
+    rows = spark.createDataFrame([(None, 3), *values], "g long, x long").repartition(3)
+    lists = [[3], *([x for _, x in it] for _, it in itertools.groupby(values, key=lambda r: r[0]))]
+    got = iterops.intercalated_rows(rows, "g", "x", [-1, -2]).orderBy("place").collect()
+    assert [r["value"] for r in got] == [x for part in lists for x in (-1, -2, *part)][2:]
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1))
+    coded = iterops.deltas(rows, "g", "x")
+    want = [(None, 3, 3)] + [(g, x, x - (before[1] if before[0] == g else 0)) for before, (g, x) in itertools.pairwise([(None, 3), *values])]
+    assert sorted(map(tuple, coded.collect()), key=repr) == sorted(want, key=repr)
+    back = iterops.undeltas(coded.withColumn("key", F.struct("g", "x")), "key", "g", "delta", "y").collect()
+    assert len(back) == len(want) and all(r["x"] == r["y"] for r in back)
+    empty = rows.where("false")
+    assert iterops.intercalated_rows(empty, "g", "x", [0]).count() == iterops.deltas(empty, "g", "x").count() == 0
+    filled = spark.createDataFrame([(i, i if i % 40 == 5 else None) for i in range(200)], "k long, v long").repartition(5)
+    assert [r["f"] for r in ordered.carried(filled, "k", "v", "f").orderBy("k").collect()] == [None if i < 5 else (i - 5) // 40 * 40 + 5 for i in range(200)]
+
+
 def test_bloom(spark):
     keys, others = spark.range(3000).withColumnRenamed("id", "k"), spark.range(100_000, 103_000).withColumnRenamed("id", "k")
     table = bloom.built(keys)

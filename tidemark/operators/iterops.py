@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
-from .ordered import RANGE, by_levels, lagged, numbered, ranged, running_sum
+from .ordered import RANGE, by_levels, carried, lagged, numbered, ranged, running_sum
 
 
 def span(rows: DataFrame, key: str, holds: Column) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +47,39 @@ def intercalated(groups: DataFrame, key: str, values: str, separator: list) -> D
     return placed.select(F.posexplode("_all").alias("_at", "value"), (F.col("_end") - F.col("_size")).alias("_base")).select((F.col("_base") + F.col("_at") + 1).alias("place"), "value")
 
 
+def intercalated_rows(rows: DataFrame, group: str, value: str, separator: list) -> DataFrame:
+    """Values in the order of group and value, with the separator's elements between groups: place, value.
+
+    Groups are never collected, so they may have any size; a group without rows doesn't exist here.
+    """
+    kind = rows.schema[value].dataType
+    marked = _turns(rows, group, value).withColumn("_size", F.when(F.col("_new") & F.col("_last").isNotNull(), len(separator)).otherwise(0) + 1)
+    placed = running_sum(marked, "_key", F.col("_size"), "place")
+    between = F.posexplode(F.array(*(F.lit(s) for s in separator)).cast(ArrayType(kind))).alias("_at", "value")
+    apart = placed.where("_size > 1").select("place", between).select((F.col("place") - len(separator) + F.col("_at")).alias("place"), "value")
+    return placed.select("place", F.col(value).alias("value")).union(apart)
+
+
+def _turns(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows in ranges of ``_key``, group and value, with the row before (``_last``), and whether a group begins (``_new``)."""
+    keyed = ranged(rows.select(group, value).withColumn("_key", F.struct(group, value)), "_key")
+    return lagged(keyed, "_key", "_key", "_last").withColumn("_new", F.col("_last").isNull() | ~F.col("_last")[group].eqNullSafe(F.col(group)))
+
+
+def deltas(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows with ``delta``: the value less the one before it in its group, or the value itself for the first."""
+    return _turns(rows, group, value).withColumn("delta", F.col(value) - F.when(F.col("_new"), 0).otherwise(F.col("_last")[value])).select(group, value, "delta")
+
+
+def undeltas(rows: DataFrame, key: str, group: str, delta: str, name: str) -> DataFrame:
+    """Running sums of ``delta`` inside each group (column ``name``); ``key`` orders all rows, group by group."""
+    turned = lagged(ranged(rows.withColumn("_group", F.struct(group)), key), key, "_group", "_last")
+    summed = running_sum(turned, key, F.col(delta), "_total")
+    new = F.col("_last").isNull() | (F.col("_last")[group].eqNullSafe(F.col(group)) == F.lit(False))
+    based = carried(summed.withColumn("_start", F.when(new, F.col("_total") - F.col(delta))), key, "_start", "_base")
+    return based.withColumn(name, F.col("_total") - F.col("_base")).drop("_group", "_last", "_total", "_start", "_base", RANGE)
+
+
 def merge(*parts: DataFrame, key: str = "k") -> DataFrame:
     """All rows of all parts in key order, repeats kept."""
     out = parts[0]

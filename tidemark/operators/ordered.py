@@ -55,6 +55,16 @@ def lagged(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return _shed(rows, placed.withColumn(name, F.when(F.col("_first"), F.col("_before")[column]).otherwise(F.col("_lag"))), "_first", "_lag", "_before")
 
 
+def carried(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """Rows with the last ``column`` that isn't null, up to and with each, in the order of ``key``."""
+    placed = ranged(rows, key)
+    ends = placed.groupBy(RANGE).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(key))).alias("_end"))
+    before = _before(ends, {"_before": F.last("_end", ignorenulls=True)})
+    inside = Window.partitionBy(RANGE).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_inside", F.last(column, ignorenulls=True).over(inside)).join(F.broadcast(before), RANGE)
+    return _shed(rows, placed.withColumn(name, F.coalesce("_inside", "_before")), "_inside", "_before")
+
+
 def running_sum(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """Rows with the sum of ``value`` over all rows up to each, in the order of ``key``."""
     placed = ranged(rows, key).withColumn("_value", value)

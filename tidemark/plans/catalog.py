@@ -226,8 +226,7 @@ def intersperse(spark: SparkSession, sf: str) -> DataFrame:
 @query(""", parts AS (SELECT user_id, position AS v, position AS o FROM ops UNION ALL SELECT user_id, u.v, u.o FROM (SELECT DISTINCT user_id FROM ops), (VALUES (-1, -2), (-2, -1)) u(v, o) WHERE user_id > (SELECT min(user_id) FROM ops))
 SELECT row_number() OVER (ORDER BY user_id, o) AS place, v AS value FROM parts""")
 def intercalate(spark: SparkSession, sf: str) -> DataFrame:
-    groups = oplog.from_events(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return iterops.intercalated(groups, "user_id", "positions", [-1, -2])
+    return iterops.intercalated_rows(oplog.from_events(spark, sf), "user_id", "position", [-1, -2])
 
 
 @query(""", placed AS (SELECT row_number() OVER (ORDER BY k) AS n, v FROM live)
@@ -408,18 +407,17 @@ def batch_delete_explode(spark: SparkSession, sf: str) -> DataFrame:
     return oplog.exploded(batches.select("position", "keys", F.lit(None).cast("long").alias("k"))).select("position", "k")
 
 
-@query(""", d AS (SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM events)
-SELECT user_id, array_to_string(list(d ORDER BY event_id), ',') AS deltas FROM d GROUP BY user_id""")
+@query("SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events")
 def delta_encode(spark: SparkSession, sf: str) -> DataFrame:
-    lists = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return lists.select("user_id", F.array_join(F.transform(codecs.delta_encoded(F.col("ids")), lambda x: x.cast("string")), ",").alias("deltas"))
+    """The ids of each user's events as differences, a row each, so that a user may have any number."""
+    return iterops.deltas(table(spark, sf, "events"), "user_id", "event_id")
 
 
-@query("SELECT user_id, array_to_string(list(event_id ORDER BY event_id), ',') AS ids FROM events GROUP BY user_id")
+@query("SELECT user_id, event_id AS decoded FROM events")
 def delta_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    lists = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    coded = lists.select("user_id", codecs.delta_encoded(F.col("ids")).alias("d"))
-    return coded.select("user_id", F.array_join(F.transform(codecs.delta_decoded(F.col("d")), lambda x: x.cast("string")), ",").alias("ids"))
+    """Those differences summed up again, in the order of user and event."""
+    coded = iterops.deltas(table(spark, sf, "events"), "user_id", "event_id").withColumn("key", F.struct("user_id", "event_id"))
+    return iterops.undeltas(coded.drop("event_id"), "key", "user_id", "delta", "decoded").select("user_id", "decoded")
 
 
 @query("SELECT k, 'u:' || k AS text, k AS parsed FROM live")
@@ -515,9 +513,10 @@ def stream_ingested(spark: SparkSession, sf: str) -> DataFrame:
     """The log as segment files, tailed by a stream into a store in batches of files; a second run adds nothing."""
     folder, ops = scratch(spark, "log"), oplog.from_events(spark, sf)
     total = ops.agg(F.max("position")).first()[0] or 0
-    ingest.write_segments(ops, folder, max(1, -(-(total + 1) // 4)))
+    rows = max(1, min(1 << 20, -(-(total + 1) // 4)))  # of a segment: bounded, so that tasks are
+    ingest.write_segments(ops, folder, rows)
     marks = scratch(spark, "stream")
     with _store(spark, "store") as store:
         for _ in range(2):
-            ingest.ingest(ingest.tail(spark, folder, 2), [store], marks).awaitTermination()
+            ingest.ingest(ingest.tail(spark, folder, max(2, total // rows // 8)), [store], marks).awaitTermination()
         return store.view()
