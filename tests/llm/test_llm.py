@@ -549,6 +549,18 @@ def test_nearest_recall_of_unequal_lengths(spark, lengths):
     assert sum(hits) >= 0.9 * 20 * len(hits)
 
 
+def test_rounds_of_new_pairs_find_the_same(spark):
+    x = np.random.default_rng(4).standard_normal((500, 12))
+    codes = session.stored(nn_descent.encoded(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")), "codes")
+    graph, near = session.stored(nn_descent.merged(nn_descent.first_lists(codes, 6), 6), "graph"), None
+    for _ in range(3):
+        whole = nn_descent.improved(graph, codes, 3, 6, 9)[0].collect()
+        better, near = nn_descent.improved(graph, codes, 3, 6, 9, near)
+        graph = session.stored(better, "graph")
+        assert {r["id"]: set(r["ids"]) for r in graph.collect()} == {r["id"]: set(r["ids"]) for r in whole}
+    assert near.where("fresh < size(near)").count() > 0
+
+
 def test_nearest_edges(spark):
     same = [1.0, 0.0, 0.5]
     rows = [(i, same) for i in range(60)] + [(100, [float("nan"), 0.0, 1.0]), (120, None), (140, [0.0, 0.0, 0.0]), (160, [1.0, None, 0.0]), (180, [1.0, 2.0]), (200, [9.0, 0.0, 0.0]), (220, [float("inf"), 0.0, 0.0]), (None, same), (40, same)]

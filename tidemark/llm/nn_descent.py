@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent, searched greedily.
 
 Rows with one vector are one node, so copies cost nothing.  Nodes get first neighbours from blocks of a few random
-projections.  In each round of NN-descent the neighbours of a node, forward and reverse, are compared with each other,
-and every node keeps the best of what it had and what it was offered.  Nodes are dealt to parts; a join brings each
+projections.  In each round of NN-descent the neighbours of a node, forward and reverse, are compared with each other
+(but for pairs that it compared the round before), and every node keeps the best of what it had and what it was offered.  Nodes are dealt to parts; a join brings each
 part the vectors that its nodes' neighbours need, once, as bytes; the comparisons are small matrix products in tasks.
 
 Queries start at their own node and at the longest nodes.  In each step all nodes of the beam that haven't been expanded
@@ -57,11 +57,11 @@ class Codes:
     def __getitem__(self, at) -> np.ndarray:
         return self.bytes[at].astype(np.float32) * self.scale[at, None]
 
-    def products(self, at) -> np.ndarray:
-        """Inner products of the lengthened vectors with each other, less the square of their length."""
+    def products(self, at, first: int | None = None) -> np.ndarray:
+        """Inner products of the lengthened vectors (of the ``first`` of them) with each other, less the square of their length."""
         x, lack, offset = self[at], self.lack[at], self.offset[at]
-        out = x @ x.T
-        out += lack[:, None] * lack - offset[:, None] - offset
+        out = x[:first] @ x.T
+        out += lack[:first, None] * lack - offset[:first, None] - offset
         return out
 
 
@@ -188,15 +188,26 @@ def both_ways(graph: DataFrame, reverse: int) -> DataFrame:
     return graph.join(back.withColumnRenamed("to", "id"), "id", "left").select("id", F.array_distinct(F.concat("ids", F.coalesce("back", F.array().cast("array<long>")))).alias("near"), F.element_at("scores", -1).alias("worst"), F.size("ids").alias("size"))
 
 
-def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, reverse: int) -> DataFrame:
-    """One round: every node offers its neighbours to each other."""
+def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, reverse: int, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round: every node offers its neighbours to each other.  The lists after it, and the neighbours that were compared.
+
+    Two neighbours that the node had in the round before (``last``) were offered then, and lists only get better since: so
+    only pairs with a neighbour that is new to the node are compared, which finds the same.
+    """
     near = both_ways(graph, reverse).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    if last is None:
+        near = near.withColumn("fresh", F.size("near"))
+    else:
+        fresh = F.array_except("near", F.coalesce("old", F.array().cast("array<long>")))
+        near = near.join(last.select("id", F.col("near").alias("old")), "id", "left").withColumn("new", fresh)
+        near = near.withColumn("near", F.concat("new", F.array_except("near", "new"))).withColumn("fresh", F.size("new")).drop("old", "new")
     near = stored(near, "nn-near")
     floor = near.select("id", F.when(F.col("size") >= neighbours, F.col("worst")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    wanted = near.select("part", F.explode("near").alias("id")).distinct()
+    active = near.where("fresh > 0")
+    wanted = active.select("part", F.explode("near").alias("id")).distinct()
     none = F.lit(None)
-    vectors = wanted.join(codes.join(floor, "id"), "id").select("part", "id", "code", "worst", none.cast("array<long>").alias("near"))
-    lists = near.select("part", "id", none.cast("binary"), none.cast("float"), "near")
+    vectors = wanted.join(codes.join(floor, "id"), "id").select("part", "id", "code", "worst", none.cast("array<long>").alias("near"), none.cast("int").alias("fresh"))
+    lists = active.select("part", "id", none.cast("binary"), none.cast("float"), "near", "fresh")
 
     def compare(batches):
         for group in _groups(batches, ["part"]):
@@ -208,17 +219,19 @@ def improved(graph: DataFrame, codes: DataFrame, parts: int, neighbours: int, re
             spot = order[np.searchsorted(ids[order], lists.column("near").flatten().to_numpy())]
             ends = np.r_[0, np.cumsum(lists.column("near").value_lengths().to_numpy())]
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for a, b, fresh in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.column("fresh").to_pylist(), strict=True):
                 own = spot[a:b]
-                score = codes.products(own)
+                score, least = codes.products(own, fresh), worst[own]
                 np.fill_diagonal(score, -np.inf)
-                left, right = np.nonzero(score > worst[own][:, None])
-                found.append((own[left], own[right], score[left, right]))
+                new, other = np.nonzero(score > least[:fresh, None])
+                found.append((own[new], own[other], score[new, other]))
+                new, other = np.nonzero(score[:, fresh:] > least[fresh:])
+                found.append((own[fresh + other], own[new], score[new, fresh + other]))
             if found:
                 yield _lists(ids, *(np.concatenate([f[k] for f in found]) for k in range(3)), neighbours)
 
     offers = vectors.union(lists).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(compare, GRAPH)
-    return merged(graph.union(offers), neighbours)
+    return merged(graph.union(offers), neighbours), near
 
 
 def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse: int = 60, rounds: int | None = None) -> DataFrame:
@@ -227,13 +240,20 @@ def neighbour_graph(codes: DataFrame, count: int, neighbours: int = 40, reverse:
     width = codes.select(F.max(F.octet_length("code"))).first()[0] or 0
     parts = max(PARTS, -(-count * (neighbours + reverse) * (width + 16) // PART_BYTES))  # a node wants its neighbours' vectors once
     graph = stored(merged(first_lists(codes, neighbours), neighbours), "nn-graph")
+    near = None
     while rounds is None or rounds > 0:
-        before, graph = graph, stored(improved(graph, codes, parts, neighbours, reverse), "nn-graph")
+        better, compared = improved(graph, codes, parts, neighbours, reverse, near)
+        before, graph = graph, stored(better, "nn-graph")
+        if near is not None:
+            dropped(spark, near)
+        near = compared
         news = graph.join(before.select("id", F.col("ids").alias("old")), "id").agg(F.sum(F.size(F.array_except("ids", "old"))).alias("n"), F.sum(F.size("ids")).alias("all")).first()
         dropped(spark, before)
         if (news["n"] or 0) < SETTLED * (news["all"] or 1):
             break
         rounds = None if rounds is None else rounds - 1
+    if near is not None:
+        dropped(spark, near)
     return graph
 
 
