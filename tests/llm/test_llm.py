@@ -444,11 +444,11 @@ def test_lm_windows_score_each_token_once():
             first = 0 if j < size else ((j - context) // (size - context)) * (size - context)
             x = np.zeros((1, size), np.int64)
             x[0, : j - first + 1] = model.index[flow[first : j + 1]]
-            z = model.hidden(x)[j - first : j - first + 1]
+            z = model.hidden(x, {})[j - first : j - first + 1]
             want = float(model.log_probability(z, model.index[t[j : j + 1]])[0]) / np.log(10)
             assert got[offsets[k] + j] == pytest.approx(want, rel=1e-3, abs=1e-6)
     entries = len(model.w["mixed"])
-    everything = model.log_probability(np.repeat(model.hidden(np.zeros((1, size), np.int64))[:1], entries, 0), np.arange(entries))
+    everything = model.log_probability(np.repeat(model.hidden(np.zeros((1, size), np.int64), {})[:1], entries, 0), np.arange(entries))
     everything[-1] += np.log(model.missing)
     assert np.exp(everything).sum() == pytest.approx(1, rel=1e-3)
 
