@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import Files
 from tidemark.sources.store import Store
 from tidemark.streaming import ingest, keyed
 
@@ -50,3 +51,23 @@ def test_last_values_with_expiry(spark, folder):
         query.awaitTermination()
     got = {(r["k"], r["v"], r["op"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert {(1, 6, "PUT"), (2, None, "DELETE"), (3, 7, "PUT"), (1, None, "EXPIRED")} <= got
+
+
+def test_segments_that_arrive_out_of_order(spark, folder):
+    """Positions decide, whatever order files come in: a stream takes them by time of modification."""
+    rows = [(p, p % 5, "DELETE" if p % 7 == 3 else "PUT", p if p % 7 != 3 else None, None, None) for p in range(60)]
+    live = {}
+    for _, k, op, v, *_ in rows:
+        live.pop(k, None) if op == "DELETE" else live.__setitem__(k, v)
+    ingest.write_segments(spark.createDataFrame(rows, LOG).repartition(7), f"{folder}/log", per_segment=10)
+    files = Files(spark, f"{folder}/log")
+    names, times = zip(*sorted(files.found("segment=*/*.parquet")), strict=True)
+    assert len(times) == 6 and list(times) == sorted(set(times))  # a written log is in order
+    for name, back in zip(names, [3, 0, 5, 1, 4, 2], strict=True):  # another writer's isn't
+        files.touch(name, times[0] - 1000 * back)
+    with Store(spark, f"{folder}/a") as a:
+        ingest.ingest(ingest.tail(spark, f"{folder}/log", 1), [a], f"{folder}/marks").awaitTermination()
+        assert content(a.view()) == live
+        ingest.ingest(ingest.tail(spark, f"{folder}/log", 2), [a], f"{folder}/marks2", name="again").awaitTermination()
+        assert content(a.view()) == live
+        assert a.manifest().properties["position"] == 59

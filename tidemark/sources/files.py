@@ -60,5 +60,13 @@ class Files:
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
 
+    def found(self, pattern: str) -> list[tuple[str, int]]:
+        """Names of a pattern of one file in one folder each, and their times of modification in milliseconds."""
+        return [("/".join(s.getPath().toString().rsplit("/", 2)[1:]), s.getModificationTime()) for s in self.fs.globStatus(self.path(pattern))]
+
+    def touch(self, name: str, millis: int) -> None:
+        """Set the time of modification, where the file system keeps it."""
+        self.fs.setTimes(self.path(name), millis, -1)
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

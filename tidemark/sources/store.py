@@ -30,6 +30,7 @@ class Run:
     bytes: int
     low: object
     high: object
+    position: int | None = None  # the last one
 
 
 @dataclass
@@ -104,14 +105,14 @@ class Store:
         folder = f"data/{uuid.uuid4().hex}"
         seen = Observation()
         placed = rows.select("k", "v", "is_deleted", "position").repartitionByRange("k").sortWithinPartitions("k")  # small parts are joined at run time
-        placed = placed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("is_deleted").alias("dead"), F.min("k").alias("low"), F.max("k").alias("high"))
+        placed = placed.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("is_deleted").alias("dead"), F.min("k").alias("low"), F.max("k").alias("high"), F.max("position").alias("position"))
         placed.write.option("parquet.bloom.filter.enabled#k", str(self.bloom).lower()).parquet(f"{self.root}/{folder}")
         seen = seen.get
         if not seen["n"]:
             self.files.delete(folder)
             return None
         plain = lambda x: x if isinstance(x, int | float | str) else None  # noqa: E731  other keys aren't pruned by
-        return Run(folder, volatile, seen["n"], seen["dead"], self.files.size(folder), plain(seen["low"]), plain(seen["high"]))
+        return Run(folder, volatile, seen["n"], seen["dead"], self.files.size(folder), plain(seen["low"]), plain(seen["high"]), seen["position"])
 
     def commit(self, ops: DataFrame, batch: str | None = None) -> bool:
         """Apply operations (position, k, op, v; unique positions) as one generation: of each key the last one counts.
@@ -124,10 +125,17 @@ class Store:
         rows = merge.newest(ops.where(F.col("op").isin("PUT", "DELETE")), ["k"], F.desc("position")).withColumn("is_deleted", F.col("op") == "DELETE")
         run = self._write(rows.withColumn("v", F.when(~F.col("is_deleted"), F.col("v"))), volatile=True)
         now.runs = [*([run] if run else []), *now.runs]
+        if run and run.position is not None:
+            now.properties["position"] = max(run.position, now.properties.get("position", run.position))
         now.batches = [*now.batches, *([batch] if batch is not None else [])][-self.REMEMBERED :]
         self._publish(now)
         return True
 
+    def unseen(self, ops: DataFrame) -> DataFrame:
+        """Operations but those that the store has a newer one of their key for, by position: what a late commit may hold."""
+        have = self.state().select("k", F.col("position").alias("_have"))
+        return ops.join(have, "k", "left").where(F.col("_have").isNull() | (F.col("position") >= F.col("_have"))).select(*ops.columns)
+
     def generations(self, low=None, high=None, manifest: Manifest | None = None) -> DataFrame:
         """Rows of all generations with ``gen`` (0: newest); runs outside of [low, high] are left out."""
         manifest = manifest or self.manifest()

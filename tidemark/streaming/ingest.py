@@ -1,7 +1,10 @@
 """Operation logs as streams: segments of a log folder are committed to stores batch by batch.
 
 A batch is committed under its own id before the stream's checkpoint moves on, so a batch that is run again after a
-failure changes nothing.  Order inside a batch is by position, never by arrival.
+failure changes nothing.  Order is by position, never by arrival: a stream takes files by their time of modification, which
+tasks that write together leave in any order, so a written log gets times in the order of its segments; and of a batch that
+comes late all the same, only what is newer than the store's own row of its key is committed.  (Two things need arrival in
+order, as nothing kept would tell: a checkpoint operation, and deletes that a full compaction has dropped.)
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.files import Files
 from ..sources.store import Store
 
 LOG = "position long, k long, op string, v long, keys array<long>, ts long"
@@ -21,6 +25,16 @@ def write_segments(ops: DataFrame, folder: str, per_segment: int = 1000) -> None
     rows = ops.select("position", "k", "op", "v", *(F.col(c) if c in ops.columns else F.lit(None).cast(t).alias(c) for c, t in (("keys", "array<long>"), ("ts", "long"))))
     segment = F.floor(F.col("position") / per_segment)
     rows.withColumn("segment", segment).repartition("segment").sortWithinPartitions("segment", "position").write.partitionBy("segment").parquet(folder)
+    _in_order(ops.sparkSession, folder)
+
+
+def _in_order(spark: SparkSession, folder: str) -> None:
+    """Give the files of a new log times of modification in the order of its segments, none later than now."""
+    files = Files(spark, folder)
+    found = sorted(files.found("segment=[-0-9]*/*.parquet"), key=lambda f: int(f[0].split("/")[0].split("=")[1]))
+    last = max((millis for _, millis in found), default=0)
+    for back, (name, _) in enumerate(reversed(found)):
+        files.touch(name, last - back)
 
 
 def roll_by_time(ops: DataFrame, folder: str, ts: str = "ts", every: str = "1 day") -> int:
@@ -34,6 +48,7 @@ def roll_by_time(ops: DataFrame, folder: str, ts: str = "ts", every: str = "1 da
     spans = numbered(ops.select(span.alias("span")).distinct(), "span", "segment")
     rows = ops.withColumn("span", span).join(F.broadcast(spans), "span").select("position", "k", "op", "v", (F.col("segment") - 1).alias("segment"))
     rows.repartition("segment").sortWithinPartitions("segment", "position").write.partitionBy("segment").parquet(folder)
+    _in_order(ops.sparkSession, folder)
     return spans.count()
 
 
@@ -48,6 +63,9 @@ def applied(batch: DataFrame, store: Store, name: str) -> None:
 
     cuts = [(r["position"], r["ts"]) for r in batch.where("op = 'CHECKPOINT'").select("position", "ts").orderBy("position").collect()]
     rows = exploded(batch).select("position", "k", "op", "v")
+    first = rows.agg(F.min("position")).first()[0]
+    if first is not None and first <= store.manifest().properties.get("position", -1):
+        rows = store.unseen(rows)
     low = None
     for n, (position, ts) in enumerate([*cuts, (None, None)]):
         part = rows if low is None else rows.where(F.col("position") > low)
@@ -90,8 +108,6 @@ def lag(store: Store, log: DataFrame, name: str = "log") -> dict[str, int]:
 
 def collected(spark: SparkSession, folder: str, before_segment: int) -> list[str]:
     """Delete segments before one, back to the first hole; returns their names."""
-    from ..sources.files import Files
-
     files = Files(spark, folder)
     have = {int(n.split("=")[1]): n for n in files.names("") if n.startswith("segment=")}
     gone, at = [], before_segment - 1
