@@ -472,6 +472,27 @@ def test_lm_gradient():
             assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(float(g[name][at]), rel=2e-2, abs=2e-6), name
 
 
+def test_lm_trains_on_every_id(spark, monkeypatch):
+    size = attention_lm.WINDOW
+    for n, batch in (((3 * size, 7, 1, 900), 2), ((5 * size,), 64), ((5,), 3), ((size,), 1), ((1, 1), 1)):
+        texts, ids, _, model = small_model((*n, 9), 0)
+        texts[-1][-1] = ids[-1] = 40  # the end, which is the start as well
+        seen, flow = [], np.r_[model.index[40], model.index[ids]]
+        monkeypatch.setattr(attention_lm.Adam, "move", lambda self, x, y, rate: seen.extend(zip(x.reshape(-1).tolist(), y.reshape(-1).tolist(), strict=True)))  # noqa: B023
+        assert attention_lm.passed(iter(texts), model, int(model.index[40]), batch) == len(ids)
+        monkeypatch.undo()
+        pairs, got = collections.Counter(zip(flow[:-1].tolist(), flow[1:].tolist(), strict=True)), collections.Counter(seen)
+        assert not pairs - got and set(got) == set(pairs) and len(seen) < len(ids) + size
+    # texts shorter than a window, which no draw of windows reaches
+    rng = np.random.default_rng(3)
+    texts = [np.r_[rng.integers(0, 20, 12), 40].astype("<u2") for _ in range(4)]
+    rows = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "row long, ids binary")
+    model, start = attention_lm.fitted(rows, 40, 60), attention_lm.Model.start(np.bincount(np.concatenate(texts), minlength=60), 11)
+    all_, offsets = np.concatenate(texts).astype(np.int64), np.arange(5) * 13
+    assert model.score(all_, offsets, 40).sum() > start.score(all_, offsets, 40).sum()
+    assert not np.array_equal(model.w["embed"], start.w["embed"])
+
+
 def test_lm_phrase_memory(spark):
     rng = np.random.default_rng(2)
     first = rng.integers(0, 30, 900)

@@ -2,9 +2,9 @@
 
 The network has one layer: embeddings with places and masked causal attention.  Its state mixes a fixed number of
 distributions over ids: one is the counts of all training texts, the others are learned.  So a token costs one
-row of a table instead of a softmax over the vocabulary.  It is first trained on a bounded sample, then in rounds over
-all training texts: every task goes on from the same weights over a fixed share of its windows, and the weights
-of all tasks are averaged, by the number of windows.
+row of a table instead of a softmax over the vocabulary.  A bounded sample only gives it a start; then it is trained on every
+id of all training texts: every task goes on from the same weights over all its texts, and the weights of all tasks are
+averaged, by the number of ids.
 
 Scoring reads texts in windows that overlap: a window scores the tokens after its context, so each token is scored
 once, with at least ``CONTEXT`` tokens before it (fewer at the start).  Windows go through masked attention in batches.
@@ -19,6 +19,7 @@ Counts of frequent words (a bounded number) go to the tasks; all others are join
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -37,6 +38,10 @@ WINDOW, CONTEXT, WIDTH = 64, 8, 24
 MIXED = 64
 #: Windows that go through attention together.
 BATCH = 64
+#: Windows that a gradient adds up at a time.
+PART = 64
+#: Length of a step over the training texts.
+RATE = 0.004
 #: Groups of queries of a window; keys behind a group's last place aren't looked at.
 GROUPS = 2
 #: Logits are cut here, so that their exponentials stay finite.
@@ -48,6 +53,23 @@ _SUM, _ONES = np.ones((WINDOW, 1), np.float32), np.ones(MIXED, np.float32)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray, few: int = 8) -> None:
+    """Add rows to those of a table that ``at`` names, which may repeat."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # entries are ids, which fit: a radix sort
+    at = at[order]
+    heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    times = np.diff(np.r_[heads, len(at)])
+    rare = times <= few
+    single, count = heads[rare], times[rare]
+    for k in range(few):  # rows of one rank have distinct places; a sum of short runs would cost more
+        pick = single[count > k] + k
+        table[at[pick]] += rows[order[pick]]
+    if not rare.all():
+        often = times[~rare]
+        own = order[np.repeat(~rare, times)]
+        table[at[heads[~rare]]] += np.add.reduceat(rows[own], np.r_[0, np.cumsum(often)[:-1]], axis=0)
+
+
 @dataclass
 class Model:
     """Weights; ``index`` maps ids to entries (the last one: any id that no training text has, ``missing`` in number)."""
@@ -74,7 +96,7 @@ class Model:
         noise = random(n, MIXED, scale=0.5)
         noise[:, 0] = 0
         w = {
-            "embed": random(n, WIDTH, scale=0.5), "place": random(WINDOW, WIDTH, scale=0.1), "qkv": random(WIDTH, 3 * WIDTH, scale=s), "mix": random(WIDTH, WIDTH, scale=0.5 * s),
+            "embed": random(n, WIDTH, scale=0.5), "place": random(WINDOW, WIDTH, scale=0.1), "qkv": random(WIDTH, 3 * WIDTH, scale=s) * np.repeat(np.float32([1, 1, 0.5]), WIDTH),
             "gate": random(WIDTH, MIXED, scale=s), "gate0": np.zeros(MIXED, np.float32), "mixed": (share + noise).astype(np.float32),
         }
         return cls(index, max(len(count) - (n - 1), 1), w)
@@ -87,17 +109,24 @@ class Model:
         t /= t.sum(0)
         return t
 
+    def _given(self) -> tuple[np.ndarray, np.ndarray]:
+        """What entries and places give to states, queries (scaled), keys and values."""
+        e, p = (np.concatenate([x, x @ self.w["qkv"]], 1) for x in (self.w["embed"], self.w["place"]))
+        for x in (e, p):
+            x[:, WIDTH : 2 * WIDTH] *= x.dtype.type(WIDTH**-0.5)
+        return e, p
+
     @cached_property
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        """Of a trained model: what entries and places give to states, queries (scaled), keys and values (mixed), the
-        distributions, and whether some logit of attention may need the cut at HIGH."""
+        """Of a trained model: what entries and places give, the distributions, and whether some logit of attention may need the cut at HIGH."""
+        e, p = self._given()
+        return e, p, self._shares(self.w["mixed"]), self._high(e, p)
+
+    @staticmethod
+    def _high(e: np.ndarray, p: np.ndarray) -> bool:
         d = WIDTH
-        e, p = (np.concatenate([x, x @ self.w["qkv"]], 1) for x in (self.w["embed"], self.w["place"]))
-        for x in (e, p):
-            x[:, d : 2 * d] *= np.float32(d**-0.5)
-            x[:, 3 * d :] = x[:, 3 * d :] @ self.w["mix"]
         longest = [sum(float(np.linalg.norm(x[:, i * d : (i + 1) * d], axis=1).max()) for x in (e, p)) for i in (1, 2)]
-        return e, p, self._shares(self.w["mixed"]), not longest[0] * longest[1] < HIGH
+        return not longest[0] * longest[1] < HIGH
 
     def states(self, x: np.ndarray, since: int = 0) -> np.ndarray:
         """States of a trained model (windows * (WINDOW - since), WIDTH) from place ``since`` of windows of entries on.
@@ -122,72 +151,92 @@ class Model:
         return z.reshape(-1, d)
 
     def hidden(self, x: np.ndarray, tape: dict) -> np.ndarray:
-        """States (windows * WINDOW, WIDTH) after windows of entries, each from the entries up to it, and what gradients need."""
-        w, d = self.w, WIDTH
-        n = x.shape[0]
-        e = w["embed"][x] + w["place"]
-        qkv = (e.reshape(-1, d) @ w["qkv"]).reshape(n, WINDOW, 3 * d)
-        q, k, v = (qkv[:, :, i * d : (i + 1) * d] for i in range(3))
-        a = np.matmul(q * np.float32(d**-0.5), np.ascontiguousarray(k.transpose(0, 2, 1)))
-        np.clip(a, -HIGH, HIGH, out=a)
+        """States (windows * WINDOW, WIDTH) after windows of entries, each from the entries up to it, and what gradients need.
+
+        ``tape`` may bring what entries and places give (``given``).
+        """
+        d = WIDTH
+        e, p, high = tape["given"] if "given" in tape else (*self._given(), True)
+        all_ = np.take(e, x, axis=0)
+        all_ += p
+        a = np.matmul(all_[:, :, d : 2 * d], np.ascontiguousarray(all_[:, :, 2 * d : 3 * d].transpose(0, 2, 1)))
+        if high:
+            np.clip(a, -HIGH, HIGH, out=a)
         np.exp(a, out=a)
         a *= _MASK
         a /= np.matmul(a, _SUM)
-        seen = np.matmul(a, v).reshape(-1, d)
-        tape.update(x=x, e=e, q=q, k=k, v=v, a=a, seen=seen)
-        return e.reshape(-1, d) + seen @ w["mix"]
-
-    def log_probability(self, z: np.ndarray, target: np.ndarray, grad: dict | None = None) -> np.ndarray:
-        """Natural log of the probability of each target entry after its state; ``grad``: gets the loss's gradient."""
-        w = self.w
-        g = z @ w["gate"]
-        g += w["gate0"]
+        seen = np.matmul(a, all_[:, :, 3 * d :])
+        tape.update(all=all_, a=a, seen=seen)
+        return (all_[:, :, :d] + seen).reshape(-1, d)
+
+    def log_probability(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each target entry after its state."""
+        g = self._gates(z)
+        out = np.log(np.einsum("ij,ij->i", g, np.take(self.tables[2], target, axis=0)) / (g @ _ONES))
+        self._spell(out, target)
+        return out
+
+    def _gates(self, z: np.ndarray) -> np.ndarray:
+        g = z @ self.w["gate"]
+        g += self.w["gate0"]
         np.clip(g, -HIGH, HIGH, out=g)
         np.exp(g, out=g)
-        t = self.tables[2] if grad is None else self._shares(w["mixed"])
-        own = np.take(t, target, axis=0)
-        total = g @ _ONES
-        p = np.einsum("ij,ij->i", g, own)
-        out = np.log(p / total)
-        if grad is not None:
-            share = own * g
-            share /= p[:, None]  # of each distribution in the target
-            g /= total[:, None]
-            dg = (g - share) / np.float32(len(target))
-            grad["gate"], grad["gate0"], grad["z"] = z.T @ dg, dg.sum(0), dg @ w["gate"].T
-            order = np.argsort(target, kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(target[order]) > 0])
-            t *= share.sum(0) / len(target)
-            grad["mixed"] = t
-            grad["mixed"][target[order[heads]]] -= np.add.reduceat(share[order], heads, axis=0) / np.float32(len(target))
-            grad["mixed"][:, 0] = 0  # counts stay
-        missing = target == len(w["mixed"]) - 1
+        return g
+
+    def _spell(self, logs: np.ndarray, target: np.ndarray) -> None:
+        """The last entry's probability is shared by all ids that no training text has."""
+        missing = target == len(self.w["mixed"]) - 1
         if missing.any():
-            out[missing] -= np.log(self.missing)
-        return out
+            logs[missing] -= np.log(self.missing)
 
-    def gradient(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and gradient of whole windows."""
-        w, t, g, d = self.w, {}, {}, WIDTH
-        z = self.hidden(x, t)
-        loss = -float(self.log_probability(z, target.reshape(-1), g).mean())
-        dz = g.pop("z")
-        g["mix"] = t["seen"].T @ dz
-        n = x.shape[0]
-        d_seen = (dz @ w["mix"].T).reshape(n, WINDOW, d)
-        dv = np.matmul(t["a"].transpose(0, 2, 1), d_seen)
-        da = np.matmul(d_seen, t["v"].transpose(0, 2, 1))
-        da = t["a"] * (da - (da * t["a"]).sum(2, keepdims=True)) * np.float32(d**-0.5)
-        d_qkv = np.concatenate([np.matmul(da, t["k"]), np.matmul(da.transpose(0, 2, 1), t["q"]), dv], 2).reshape(-1, 3 * d)
-        g["qkv"] = t["e"].reshape(-1, d).T @ d_qkv
-        de = dz + d_qkv @ w["qkv"].T
-        g["place"] = de.reshape(n, WINDOW, d).sum(0)
-        flat = x.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-        g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][flat[order[heads]]] = np.add.reduceat(de[order], heads, axis=0)
-        return loss, g
+    def gradient(self, x: np.ndarray, target: np.ndarray, part: int = PART) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss (a token) and its gradient of whole windows.  They go through in parts that fit a core's cache, and are added up."""
+        w, d = self.w, WIDTH
+        t = self._shares(w["mixed"])
+        given = self._given()
+        given = (*given, self._high(*given))
+        g = {k: np.zeros_like(v) for k, v in w.items()}
+        used, loss, gate, qkv = np.zeros(MIXED, t.dtype), 0.0, np.ascontiguousarray(w["gate"].T), np.ascontiguousarray(w["qkv"].T)
+        for b in range(0, len(x), part):
+            tape, own = {"given": given}, target[b : b + part].reshape(-1)
+            z = self.hidden(x[b : b + part], tape)
+            a = self._gates(z)
+            total = a @ _ONES
+            share = np.take(t, own, axis=0)
+            share *= a
+            p = share @ _ONES
+            logs = np.log(p / total)
+            self._spell(logs, own)
+            loss -= float(logs.sum())
+            share *= (1 / p)[:, None]  # of each distribution in the target
+            a *= (1 / total)[:, None]
+            a -= share
+            ones = np.ones(len(z), z.dtype)
+            g["gate"] += z.T @ a
+            g["gate0"] += ones @ a
+            used += ones @ share
+            _add_rows(g["mixed"], own, share)
+            dz = a @ gate
+            all_, a, d_seen = tape["all"], tape["a"], dz.reshape(-1, WINDOW, d)
+            d_qkv = np.empty((len(d_seen), WINDOW, 3 * d), z.dtype)
+            np.matmul(a.transpose(0, 2, 1), d_seen, out=d_qkv[:, :, 2 * d :])
+            da = np.matmul(d_seen, np.ascontiguousarray(all_[:, :, 3 * d :].transpose(0, 2, 1)))
+            da -= np.einsum("nwd,nwd->nw", d_seen, tape["seen"])[:, :, None]
+            da *= a
+            np.matmul(da, all_[:, :, 2 * d : 3 * d], out=d_qkv[:, :, :d])
+            d_qkv[:, :, :d] *= d_qkv.dtype.type(d**-0.5)
+            np.matmul(da.transpose(0, 2, 1), all_[:, :, d : 2 * d], out=d_qkv[:, :, d : 2 * d])
+            d_qkv = d_qkv.reshape(-1, 3 * d)
+            g["qkv"] += np.ascontiguousarray(all_[:, :, :d]).reshape(-1, d).T @ d_qkv
+            dz += d_qkv @ qkv
+            g["place"] += dz.reshape(-1, WINDOW, d).sum(0)
+            _add_rows(g["embed"], x[b : b + part].reshape(-1), dz)
+        t *= used
+        np.subtract(t, g["mixed"], out=g["mixed"])
+        g["mixed"][:, 0] = 0  # counts stay
+        for v in g.values():
+            v *= v.dtype.type(1 / target.size)
+        return loss / target.size, g
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
         """log10 probability of each id of texts; ``start`` stands before the first of a text."""
@@ -312,11 +361,41 @@ def id_counts(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def averaged(rows: DataFrame, model: Model, start: int, turn: int, share: int, batch: int = 32, rate: float = 0.004, chunks: int = 64) -> Model:
-    """The mean of the weights that tasks reach from ``model`` over one in ``share`` windows of their rows.
+def passed(flows: Iterable[np.ndarray], model: Model, first: int, batch: int | None = None, rate: float = RATE) -> int:
+    """Train a model in place on every id of ``flows`` (ids of whole texts, an end after each) once; returns how many.
 
-    Each text gives windows by its length, at places that a hash of the row and the round chooses.
+    Windows follow each other without a gap, after the entry ``first``, so that each id is a target; the last one reaches
+    back (of too few ids, it repeats them).  A step has so many windows that its passes over the tables cost little beside them.
     """
+    batch = batch or max(64, model.w["mixed"].size // 1000)
+    adam, held, size, done, span = Adam(model), [np.array([first], np.int32)], 1, 0, batch * WINDOW
+    gone = held[0][:0]
+
+    def step(flow: np.ndarray) -> None:
+        x = np.lib.stride_tricks.sliding_window_view(flow, WINDOW + 1)[::WINDOW]
+        adam.move(x[:, :-1], x[:, 1:], rate)
+
+    for ids in flows:
+        held.append(model.index[ids])
+        size, done = size + len(ids), done + len(ids)
+        if size > span:
+            flow, at = np.concatenate(held), 0
+            while len(flow) - at > span:
+                step(flow[at : at + span + 1])
+                at += span
+            gone, held, size = flow[at - WINDOW : at], [flow[at:]], len(flow) - at
+    flow = np.concatenate(held)
+    whole = (len(flow) - 1) // WINDOW * WINDOW
+    if whole:
+        step(flow[: whole + 1])
+    if len(flow) - 1 > whole:  # ids behind the last whole window
+        last = np.concatenate([gone, flow])[-WINDOW - 1 :]
+        step(np.r_[last, np.resize(last[1:], WINDOW + 1 - len(last))])
+    return done
+
+
+def averaged(rows: DataFrame, model: Model, start: int, chunks: int = 64) -> Model:
+    """The mean of the weights that tasks reach from ``model`` over all ids of their rows, by the number of ids."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = list(model.w)
@@ -324,32 +403,17 @@ def averaged(rows: DataFrame, model: Model, start: int, turn: int, share: int, b
     def train(batches):
         base = shared.value
         own = Model(base.index, base.missing, {k: v.copy() for k, v in base.w.items()})
-        adam, windows, held = Adam(own), 0, []
-
-        def step(all_: list[np.ndarray]) -> None:
-            x = np.stack(all_)
-            adam.move(x[:, :-1], x[:, 1:], rate)
-
-        for rows_ in batches:
-            for row, raw in zip(rows_.column("row").to_pylist(), rows_.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u2")
-                flow = base.index[np.r_[start, ids]]
-                pieces = max(len(flow) // WINDOW, 1)
-                h = int(ragged.mix(np.array([row * 31 + turn], np.uint64))[0])
-                for k in range(h % share, pieces, share):
-                    part = flow[k * WINDOW : k * WINDOW + WINDOW + 1]
-                    if len(part) == WINDOW + 1:
-                        held.append(part)
-                        windows += 1
-                    if len(held) == batch:
-                        step(held)
-                        held = []
-        if held:
-            step(held)
-        if windows:
+
+        def flows():
+            for batch in batches:
+                data, limits = ragged.text_bytes(batch.column("ids"))
+                yield np.frombuffer(data[: limits[-1]].tobytes(), "<u2")
+
+        n = passed(flows(), own, int(base.index[start]))
+        if n:
             flat = np.concatenate([own.w[k].reshape(-1) for k in names])
-            parts = np.array_split(flat * np.float32(windows), chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([windows] * chunks, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "sums"])
+            parts = np.array_split(flat * np.float32(n), chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([n] * chunks, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "n", "sums"])
 
     def add(batches):
         sums: dict[int, tuple[int, np.ndarray]] = {}
@@ -361,7 +425,7 @@ def averaged(rows: DataFrame, model: Model, start: int, turn: int, share: int, b
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["chunk", "n", "sums"])
 
     kind = "chunk int, n long, sums binary"
-    found = sorted(rows.select("row", "ids").mapInArrow(train, kind).repartition(chunks, "chunk").mapInArrow(add, kind).collect())
+    found = sorted(rows.select("ids").mapInArrow(train, kind).repartition(chunks, "chunk").mapInArrow(add, kind).collect())
     if not found:
         return model
     flat = np.concatenate([np.frombuffer(r["sums"], np.float32) / np.float32(r["n"]) for r in found])
@@ -372,15 +436,13 @@ def averaged(rows: DataFrame, model: Model, start: int, turn: int, share: int, b
     return Model(model.index, model.missing, out)
 
 
-def fitted(rows: DataFrame, end_id: int, size: int, rounds: int = 2, share: int = 48) -> Model:
-    """A model of the stored training rows: counts of all, a start on a bounded sample, and rounds over all of them."""
+def fitted(rows: DataFrame, end_id: int, size: int) -> Model:
+    """A model of the stored training rows: counts of all, a start on a bounded sample, and then a pass over every id of them all."""
     model = Model.start(id_counts(rows, size), 11)
     sample = [np.frombuffer(b, "<u2") for b in start_sample(rows, rows.select("row"))]
     offsets = np.r_[0, np.cumsum([len(x) for x in sample])].astype(np.int64)
     model = trained(model, np.concatenate([*sample, np.zeros(0, np.uint16)]).astype(np.int64), offsets, end_id)
-    for turn in range(rounds):
-        model = averaged(rows, model, end_id, turn, share)
-    return model
+    return averaged(rows, model, end_id)
 
 
 def remembered(rows: DataFrame) -> DataFrame:
