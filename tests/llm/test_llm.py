@@ -1,6 +1,7 @@
 """Corpus operators against brute force, the libraries themselves, exact round trips and held-out accuracy."""
 
 import collections
+import resource
 import zlib
 
 import numpy as np
@@ -472,6 +473,28 @@ def test_lm_gradient():
             assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(float(g[name][at]), rel=2e-2, abs=2e-6), name
 
 
+def test_lm_steps_keep_memory():
+    size = attention_lm.WINDOW
+    _, ids, _, model = small_model((70 * size + 1,), 0)
+    x, y = (model.index[ids[k : 70 * size + k]].reshape(-1, size) for k in (0, 1))
+    attention_lm._keep_memory()
+    model.gradient(x, y)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(10):
+        model.gradient(x, y)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 2000  # more than 1,000 a step by glibc's defaults
+
+
+def test_lm_rows_are_added():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 300, 5000):
+        at, rows = np.minimum(rng.geometric(0.05, n), 90), rng.standard_normal((n, 5))
+        got, want = np.ones((100, 5)), np.ones((100, 5))
+        attention_lm._add_rows(got, at, rows)
+        np.add.at(want, at, rows)
+        assert np.allclose(got, want)
+
+
 def test_lm_trains_on_every_id(spark, monkeypatch):
     size = attention_lm.WINDOW
     for n, batch in (((3 * size, 7, 1, 900), 2), ((5 * size,), 64), ((5,), 3), ((size,), 1), ((1, 1), 1)):

@@ -19,6 +19,7 @@ Counts of frequent words (a bounded number) go to the tasks; all others are join
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
@@ -49,25 +50,37 @@ HIGH = np.float32(60)
 #: Ids before a phrase, and the bits of their hash that must be zero (phrases have 64 ids on average).
 BEFORE, PHRASE_BITS = 4, 6
 _MASK = np.tri(WINDOW, dtype=np.float32)
-_SUM, _ONES = np.ones((WINDOW, 1), np.float32), np.ones(MIXED, np.float32)
+_ONES = np.ones(MIXED, np.float32)
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Options of glibc's mallopt.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 
-def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray, few: int = 8) -> None:
-    """Add rows to those of a table that ``at`` names, which may repeat."""
+def _keep_memory() -> None:
+    """From now on this worker keeps freed memory for its next arrays.  By glibc's defaults it returns them after each step, and
+    pages that come anew cost a fifth of a step."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        for option, value in ((_MMAP_THRESHOLD, 1 << 25), (_TRIM_THRESHOLD, 1 << 25)):
+            mallopt(option, value)
+
+
+def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray, group: int = 8) -> None:
+    """Add rows to those of a table that ``at`` names, which may repeat: sums of ``group`` rows of one place, then sums of these, and the rest one by one."""
     order = np.argsort(at.astype(np.uint16), kind="stable")  # entries are ids, which fit: a radix sort
     at = at[order]
     heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    times = np.diff(np.r_[heads, len(at)])
-    rare = times <= few
-    single, count = heads[rare], times[rare]
-    for k in range(few):  # rows of one rank have distinct places; a sum of short runs would cost more
-        pick = single[count > k] + k
-        table[at[pick]] += rows[order[pick]]
-    if not rare.all():
-        often = times[~rare]
-        own = order[np.repeat(~rare, times)]
-        table[at[heads[~rare]]] += np.add.reduceat(rows[own], np.r_[0, np.cumsum(often)[:-1]], axis=0)
+    places, left = at[heads], np.diff(np.r_[heads, len(at)])
+    full = left // group
+    often = np.flatnonzero(full)
+    if len(often):
+        starts = ragged.ranges(np.zeros(len(often), np.int64), full[often]) * group + np.repeat(heads[often], full[often])
+        sums = np.take(rows, order[starts[:, None] + np.arange(group)].reshape(-1), axis=0).reshape(len(starts), group, -1).sum(1)
+        table[places[often]] += np.add.reduceat(sums, np.r_[0, np.cumsum(full[often])[:-1]], axis=0)
+    heads, left = heads + full * group, left - full * group
+    for k in range(group - 1):  # rows of one rank have distinct places
+        these = np.flatnonzero(left > k)
+        table[places[these]] += rows[order[heads[these] + k]]
 
 
 @dataclass
@@ -109,70 +122,55 @@ class Model:
         t /= t.sum(0)
         return t
 
-    def _given(self) -> tuple[np.ndarray, np.ndarray]:
-        """What entries and places give to states, queries (scaled), keys and values."""
-        e, p = (np.concatenate([x, x @ self.w["qkv"]], 1) for x in (self.w["embed"], self.w["place"]))
+    def _given(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """What entries and places give to states, queries (scaled), keys and values, with a one behind the values of an entry, and
+        whether some logit of attention may need the cut at HIGH."""
+        d, w = WIDTH, self.w
+        e, p = (np.concatenate([x, x @ w["qkv"], np.full((len(x), 1), one, x.dtype)], 1) for x, one in ((w["embed"], 1), (w["place"], 0)))
         for x in (e, p):
-            x[:, WIDTH : 2 * WIDTH] *= x.dtype.type(WIDTH**-0.5)
-        return e, p
+            x[:, d : 2 * d] *= x.dtype.type(d**-0.5)
+        longest = [sum(float(np.sqrt(np.einsum("ij,ij->i", y, y).max())) for y in (x[:, i * d : (i + 1) * d] for x in (e, p))) for i in (1, 2)]
+        return e, p, not longest[0] * longest[1] < HIGH
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        """Of a trained model: what entries and places give, the distributions, and whether some logit of attention may need the cut at HIGH."""
-        e, p = self._given()
-        return e, p, self._shares(self.w["mixed"]), self._high(e, p)
-
-    @staticmethod
-    def _high(e: np.ndarray, p: np.ndarray) -> bool:
-        d = WIDTH
-        longest = [sum(float(np.linalg.norm(x[:, i * d : (i + 1) * d], axis=1).max()) for x in (e, p)) for i in (1, 2)]
-        return not longest[0] * longest[1] < HIGH
+    def tables(self) -> tuple[tuple[np.ndarray, np.ndarray, bool], np.ndarray]:
+        """Of a trained model: what entries and places give, and the distributions."""
+        return self._given(), self._shares(self.w["mixed"])
 
     def states(self, x: np.ndarray, since: int = 0) -> np.ndarray:
-        """States of a trained model (windows * (WINDOW - since), WIDTH) from place ``since`` of windows of entries on.
+        """States of a trained model (windows * (WINDOW - since), WIDTH) from place ``since`` of windows of entries on."""
+        return self.hidden(x, {"given": self.tables[0]}, since)
 
-        Queries go in groups of places, each against the keys up to its last place.
+    def hidden(self, x: np.ndarray, tape: dict, since: int = 0) -> np.ndarray:
+        """States (windows * (WINDOW - since), WIDTH) after windows of entries, each from the entries up to it, and what gradients need.
+
+        Queries go in groups of places, each against the keys up to its last place.  ``tape`` may bring what entries and places
+        give (``given``); it gets each group's bounds, exponentials and their sums.
         """
         d = WIDTH
-        e, p, _, high = self.tables
+        e, p, high = tape["given"] if "given" in tape else self._given()
         all_ = np.take(e, x, axis=0)
         all_ += p
         keys, z = np.ascontiguousarray(all_[:, :, 2 * d : 3 * d].transpose(0, 2, 1)), all_[:, since:, :d].copy()
-        bounds = np.linspace(since, WINDOW, GROUPS + 1).astype(int)
-        for low, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bounds, groups = np.linspace(since, WINDOW, GROUPS + 1).astype(int).tolist(), []
+        for low, end in zip(bounds[:-1], bounds[1:], strict=True):
             a = np.matmul(all_[:, low:end, d : 2 * d], keys[:, :, :end])
             if high:
                 np.clip(a, -HIGH, HIGH, out=a)
             np.exp(a, out=a)
             a[:, :, low:] *= _MASK[low:end, low:end]
             seen = np.matmul(a, all_[:, :end, 3 * d :])
-            seen /= np.matmul(a, _SUM[:end])
+            total = seen[:, :, d:].copy()
+            seen = seen[:, :, :d] / total
             z[:, low - since : end - since] += seen
+            groups.append((low, end, a, total, seen))
+        tape.update(all=all_, groups=groups)
         return z.reshape(-1, d)
 
-    def hidden(self, x: np.ndarray, tape: dict) -> np.ndarray:
-        """States (windows * WINDOW, WIDTH) after windows of entries, each from the entries up to it, and what gradients need.
-
-        ``tape`` may bring what entries and places give (``given``).
-        """
-        d = WIDTH
-        e, p, high = tape["given"] if "given" in tape else (*self._given(), True)
-        all_ = np.take(e, x, axis=0)
-        all_ += p
-        a = np.matmul(all_[:, :, d : 2 * d], np.ascontiguousarray(all_[:, :, 2 * d : 3 * d].transpose(0, 2, 1)))
-        if high:
-            np.clip(a, -HIGH, HIGH, out=a)
-        np.exp(a, out=a)
-        a *= _MASK
-        a /= np.matmul(a, _SUM)
-        seen = np.matmul(a, all_[:, :, 3 * d :])
-        tape.update(all=all_, a=a, seen=seen)
-        return (all_[:, :, :d] + seen).reshape(-1, d)
-
     def log_probability(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target entry after its state."""
         g = self._gates(z)
-        out = np.log(np.einsum("ij,ij->i", g, np.take(self.tables[2], target, axis=0)) / (g @ _ONES))
+        out = np.log(np.einsum("ij,ij->i", g, np.take(self.tables[1], target, axis=0)) / (g @ _ONES))
         self._spell(out, target)
         return out
 
@@ -194,9 +192,9 @@ class Model:
         w, d = self.w, WIDTH
         t = self._shares(w["mixed"])
         given = self._given()
-        given = (*given, self._high(*given))
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        used, loss, gate, qkv = np.zeros(MIXED, t.dtype), 0.0, np.ascontiguousarray(w["gate"].T), np.ascontiguousarray(w["qkv"].T)
+        used, loss, gate = np.zeros(MIXED, t.dtype), 0.0, np.ascontiguousarray(w["gate"].T)
+        by_entry, by_place = (np.zeros((len(v), 4 * d), v.dtype) for v in given[:2])
         for b in range(0, len(x), part):
             tape, own = {"given": given}, target[b : b + part].reshape(-1)
             z = self.hidden(x[b : b + part], tape)
@@ -216,21 +214,13 @@ class Model:
             g["gate0"] += ones @ a
             used += ones @ share
             _add_rows(g["mixed"], own, share)
-            dz = a @ gate
-            all_, a, d_seen = tape["all"], tape["a"], dz.reshape(-1, WINDOW, d)
-            d_qkv = np.empty((len(d_seen), WINDOW, 3 * d), z.dtype)
-            np.matmul(a.transpose(0, 2, 1), d_seen, out=d_qkv[:, :, 2 * d :])
-            da = np.matmul(d_seen, np.ascontiguousarray(all_[:, :, 3 * d :].transpose(0, 2, 1)))
-            da -= np.einsum("nwd,nwd->nw", d_seen, tape["seen"])[:, :, None]
-            da *= a
-            np.matmul(da, all_[:, :, 2 * d : 3 * d], out=d_qkv[:, :, :d])
-            d_qkv[:, :, :d] *= d_qkv.dtype.type(d**-0.5)
-            np.matmul(da.transpose(0, 2, 1), all_[:, :, d : 2 * d], out=d_qkv[:, :, d : 2 * d])
-            d_qkv = d_qkv.reshape(-1, 3 * d)
-            g["qkv"] += np.ascontiguousarray(all_[:, :, :d]).reshape(-1, d).T @ d_qkv
-            dz += d_qkv @ qkv
-            g["place"] += dz.reshape(-1, WINDOW, d).sum(0)
-            _add_rows(g["embed"], x[b : b + part].reshape(-1), dz)
+            grads = self._attention_gradient((a @ gate).reshape(-1, WINDOW, d), tape)
+            by_place += grads.sum(0)
+            _add_rows(by_entry, x[b : b + part].reshape(-1), grads.reshape(-1, 4 * d))
+        for k, v in (("embed", by_entry), ("place", by_place)):  # through the projections once for an entry, not for each token
+            v[:, d : 2 * d] *= v.dtype.type(d**-0.5)
+            g["qkv"] += w[k].T @ v[:, d:]
+            g[k] += v[:, :d] + v[:, d:] @ w["qkv"].T
         t *= used
         np.subtract(t, g["mixed"], out=g["mixed"])
         g["mixed"][:, 0] = 0  # counts stay
@@ -238,6 +228,28 @@ class Model:
             v *= v.dtype.type(1 / target.size)
         return loss / target.size, g
 
+    @staticmethod
+    def _attention_gradient(dz: np.ndarray, tape: dict) -> np.ndarray:
+        """From the gradient of states, that of what entries and places gave: states, queries, keys and values."""
+        d, all_ = WIDTH, tape["all"]
+        values = np.ascontiguousarray(all_[:, :, 3 * d :].transpose(0, 2, 1))
+        out = np.empty((len(dz), WINDOW, 4 * d), dz.dtype)
+        out[:, :, :d] = dz
+        for low, end, a, total, seen in reversed(tape["groups"]):
+            scaled = np.empty((len(dz), end - low, d + 1), dz.dtype)
+            ds = scaled[:, :, :d]
+            np.divide(dz[:, low:end], total, out=ds)
+            np.negative(np.einsum("nwd,nwd->nw", ds, seen), out=scaled[:, :, d])
+            da = np.matmul(scaled, values[:, :, :end])
+            da *= a
+            np.matmul(da, all_[:, :end, 2 * d : 3 * d], out=out[:, low:end, d : 2 * d])
+            for at, left, right in ((2 * d, da, all_[:, low:end, d : 2 * d]), (3 * d, a, ds)):
+                if end == WINDOW:  # the last group comes first, and reaches all places
+                    np.matmul(left.transpose(0, 2, 1), right, out=out[:, :, at : at + d])
+                else:
+                    out[:, :end, at : at + d] += np.matmul(left.transpose(0, 2, 1), right)
+        return out
+
     def score(self, ids: np.ndarray, offsets: np.ndarray, start: int) -> np.ndarray:
         """log10 probability of each id of texts; ``start`` stands before the first of a text."""
         rows = len(offsets) - 1
@@ -271,25 +283,34 @@ class Model:
 class Adam:
     """Steps of gradient descent with running moments."""
 
+    #: Weights that go through a step together.
+    PIECE = 1 << 13
+
     def __init__(self, model: Model):
         self.model, self.step = model, 0
-        self.first, self.second, self.room = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(3))
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
 
     def move(self, x: np.ndarray, target: np.ndarray, rate: float) -> float:
         loss, g = self.model.gradient(x, target)
         self.step += 1
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
-        for k, v in g.items():  # in place: fresh arrays of this size cost more than the sums
-            v *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            first, second, t = self.first[k], self.second[k], self.room[k]
-            first += np.multiply(np.subtract(v, first, out=t), np.float32(0.1), out=t)
-            v *= v
-            second += np.multiply(np.subtract(v, second, out=t), np.float32(0.01), out=t)
-            np.sqrt(np.divide(second, np.float32(1 - 0.99**self.step), out=t), out=t)
-            t += np.float32(1e-7)
-            np.divide(first, t, out=t)
-            t *= np.float32(rate / (1 - 0.9**self.step))
-            self.model.w[k] -= t
+        cut, root = np.float32(0.1 * min(1.0, 1.0 / (norm + 1e-9))), np.float32((1 - 0.99**self.step) ** -0.5)
+        for k, v in g.items():
+            whole = [x.reshape(-1) for x in (v, self.first[k], self.second[k], self.model.w[k])]
+            for b in range(0, v.size, self.PIECE):  # a piece of all goes through all sums while it is in the core's cache
+                v, first, second, w = (x[b : b + self.PIECE] for x in whole)
+                v *= cut  # a tenth of the gradient, and then of its square
+                first *= np.float32(0.9)
+                first += v
+                v *= v
+                second *= np.float32(0.99)
+                second += v
+                np.sqrt(second, out=v)
+                v *= root
+                v += np.float32(1e-7)
+                np.divide(first, v, out=v)
+                v *= np.float32(rate / (1 - 0.9**self.step))
+                w -= v
         return loss
 
 
@@ -401,6 +422,7 @@ def averaged(rows: DataFrame, model: Model, start: int, chunks: int = 64) -> Mod
     names = list(model.w)
 
     def train(batches):
+        _keep_memory()
         base = shared.value
         own = Model(base.index, base.missing, {k: v.copy() for k, v in base.w.items()})
 
@@ -542,6 +564,7 @@ def scored(docs: DataFrame, path: str, end_id: int = 50256, size: int = 50257, f
     shared = spark.sparkContext.broadcast(fitted(rows.where("not held_out").select("row", "ids"), end_id, size))
 
     def score(batches):
+        _keep_memory()
         model = shared.value
         for block in ragged.blocks(batches, "ids", block_bytes // 2):
             data, limits = ragged.text_bytes(block.column("ids"))
